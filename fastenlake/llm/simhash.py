@@ -36,6 +36,8 @@ from .graph import components
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 FAN = 8
 HOT_BUCKET = 1 << 16
+#: The most doc_ids of dropped rows that are broadcast (about 16 bytes each); beyond, a shuffle join.
+BROADCAST_IDS = 1_000_000
 #: Query-node pairs held at once while an index is walked.
 FRONTIER = 1 << 20
 
@@ -224,6 +226,9 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id isn't the least of its component."""
-    keep = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sd_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__sd_id")), "left_semi")
+    """docs without the rows whose doc_id isn't the least of its component; the rows
+    of a doc_id that stays all stay."""
+    found = simhash_groups(docs)
+    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sd_id")), "near-copies")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("__sd_id")), "left_anti")
