@@ -7,12 +7,24 @@ the next stage.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fastenlake.llm.common import stored, table
+from fastenlake.llm.common import remainder, stored, table
+from fastenlake.llm.decontaminate import decontaminate
+from fastenlake.llm.language_id import accepted
 from fastenlake.llm.line_dedup import line_dedup
+from fastenlake.llm.packing import packed
 from fastenlake.llm.simhash import simhash_dedup
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no language the models know, go."""
+    return accepted(docs, remainder(F.col("doc_id"), 4) != 2)
+
 
 def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines leave the texts; every document stays."""
@@ -24,9 +36,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash_dedup(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document that is left lies in the training sequences."""
+    return packed(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES = [
+    ("language_id", keep_known_languages),
     ("line_dedup", strip_boilerplate),
     ("simhash_dedup", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("best_fit_packing", pack),
 ]
 
 #: The stages use learned models and fingerprints that SQL can't express.
