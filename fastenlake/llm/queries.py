@@ -11,9 +11,11 @@ from .chat_format import formatted_digests
 from .common import remainder, table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .hmm_lm import hmm_scores
 from .language_id import identify_language
 from .line_dedup import line_dedup
 from .packing import packed
+from .quality_mil import fit, learnable, quality_scores
 from .simhash import simhash_groups
 from .token_count import token_counts
 
@@ -50,6 +52,17 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_PIECES))
 
 
+def op7_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hmm_scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"), learnable(F.col("doc_id")))
+    return quality_scores(docs, model).select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -66,6 +79,8 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_count": op6_token_count,
+    "op7_hmm_score": op7_hmm_score,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
