@@ -21,7 +21,10 @@ doc_id packs like any other; extra columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
+import random
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -35,8 +38,8 @@ from .common import stored
 
 MAX_TOKENS = 4096
 CLOSING_ID = 1
-#: Distinct words remembered by a Python worker; about 150 bytes each.
-MEMO = 400_000
+#: Distinct words, and distinct parts of words, remembered by a Python worker; about 150 bytes each.
+MEMO = 700_000
 #: Pieces of one length that are ranked together, about.
 RANK_BUCKET = 50_000
 #: Rows of the plan that are broadcast, 40 bytes each.
@@ -110,18 +113,51 @@ def plan(counts: dict[int, int], size: int = MAX_TOKENS) -> list[Step]:
     return steps
 
 
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIMPLE = re.compile(rf"([{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
+
+
 class Memo(dict):
-    """word in UTF-8 -> its ids as little-endian 32-bit numbers."""
+    """word in UTF-8 -> its ids as little-endian 32-bit numbers.
+
+    A word of Latin-1 letters with ASCII punctuation behind needs no normaliser or
+    pre-tokenizer run if these split it there and lower its letters, which is probed
+    when a tokenizer is loaded: its two parts go straight to the tokenizer's model."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: spell.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
+        self.parts: dict[str, bytes] = {}
+        rng = random.Random(0)
+        letters = [c for c in map(chr, range(256)) if re.fullmatch(f"[{_LETTERS}]", c)]
+        probes = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) + "".join(rng.choices("!'.,<|>_`~(", k=rng.randrange(3))) for _ in range(300)]
+        self.simple = all(self.direct(_SIMPLE.fullmatch(w)) == self.whole(w) for w in probes)
+
+    def whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            spelled = part if part.isascii() else part.translate(self.spelling)
+            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            self.parts[part] = found
+        return found
+
+    def direct(self, m: re.Match) -> bytes:
+        return self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
+        text = word.decode()
+        m = _SIMPLE.fullmatch(text) if self.simple and len(word) <= 64 else None
+        found = self.direct(m) if m else self.whole(text)
         if len(word) <= 64:
             if len(self) >= MEMO:
                 self.clear()

@@ -93,5 +93,13 @@ def test_packed_covers_every_piece_with_the_tokenizers_ids(spark, monkeypatch, t
     assert len(bins) == bins_of_best_fit(counts, 64)
 
 
+def test_words_give_the_tokenizers_ids():
+    r, known, tokenizer = random.Random(3), pk.Memo(PATH), Tokenizer.from_file(PATH)
+    assert known.simple
+    for _ in range(3000):
+        word = "".join(r.choice(["th", "Er", "É", "ß", "'s", "'", "-", "9", ".", "_", "Σ", "i", "<|", "ñ", "ÿ", "e\u0301"]) for _ in range(r.randrange(1, 7)))
+        assert known[word.encode()] == np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+
+
 def test_packed_empty_table(spark):
     assert pk.packed(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
