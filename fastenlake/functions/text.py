@@ -11,7 +11,8 @@ from functools import cache
 from fastenlake import vocab
 
 #: White space as request forms produce it: ASCII, no-break and other Unicode spaces.
-_WORD = re.compile("[^\t\n\x0b\x0c\r    -     　﻿]+")
+_SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+_WORD = re.compile(f"[^{_SPACES}]+")
 _EDGE = "0-9\"'/″”’" + "".join(vocab.FRACTIONS)
 _CROSS_INSIDE = re.compile(f"(?<=[{_EDGE}])[x×](?=[0-9])")
 _CROSS_LAST = re.compile(f"[{_EDGE}][x×]$")
