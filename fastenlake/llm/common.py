@@ -65,14 +65,22 @@ def _sweep() -> None:
             return
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
+#: Rows of an Arrow batch: texts can be long, and a batch is held whole by a Python worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python operators of this session get BATCH_ROWS rows at once at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(int(spark.conf.get(key, "10000")) or BATCH_ROWS, BATCH_ROWS)))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder, for operators that take it in small batches."""
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

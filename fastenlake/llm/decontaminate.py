@@ -40,7 +40,7 @@ COVERAGE = 0.8
 LITERALS = 3
 #: Item windows that are broadcast, 24 bytes each.
 BROADCAST_WINDOWS = 2_000_000
-MEMO = 500_000
+MEMO = 200_000
 #: Units that are replaced behind a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l s sec min h hr hrs ms day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles foot feet inch inches gram grams litre litres liter liters percent dollar dollars euro euros cent cents degree degrees volt volts watt watts".split()
 WORD, CAPITALISED, NUMBER, BREAK, UNIT = range(5)

@@ -47,7 +47,7 @@ STATES = 8
 SEGMENT = 256
 WARM_DOCS, WARM_ROUNDS, FULL_ROUNDS = 2_000, 12, 2
 #: Words a partition counts before it hands them on.
-FLUSH = 400_000
+FLUSH = 250_000
 BATCH = 2_048
 PRIOR = 50.0
 

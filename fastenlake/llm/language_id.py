@@ -42,7 +42,7 @@ SLACK = 2.0
 #: The most n-gram types of one model set; the rarest beyond are left to back-off.
 MAX_TYPES = 3_000_000
 #: Characters scored at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 UNKNOWN = "und"
 MARK, BLANK = 1, 32
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -39,7 +39,7 @@ from .common import stored
 MAX_TOKENS = 4096
 CLOSING_ID = 1
 #: Distinct words, and distinct parts of words, remembered by a Python worker; about 150 bytes each.
-MEMO = 700_000
+MEMO = 250_000
 #: Pieces of one length that are ranked together, about.
 RANK_BUCKET = 50_000
 #: Rows of the plan that are broadcast, 40 bytes each.

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 SCALE = 1 << 20
 UNKNOWN_PENALTY = 10.0
-MEMO = 400_000
+MEMO = 250_000
 
 
 def vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
