@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fastenlake.llm.common import remainder, stored, table
+from fastenlake.llm.common import remainder, small_batches, stored, table
 from fastenlake.llm.decontaminate import decontaminate
 from fastenlake.llm.language_id import accepted
 from fastenlake.llm.line_dedup import line_dedup
@@ -23,6 +23,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language the models know, go."""
+    small_batches(spark)
     return accepted(docs, remainder(F.col("doc_id"), 4) != 2)
 
 
@@ -33,6 +34,7 @@ def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the least doc_id stays."""
+    small_batches(spark)
     return simhash_dedup(docs)
 
 
@@ -43,6 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document that is left lies in the training sequences."""
+    small_batches(spark)
     return packed(docs, public_tokenizers.path(TOKENIZER))
 
 
