@@ -65,8 +65,10 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history_lines(lines: DataFrame) -> DataFrame:
-    """Order lines with their parsed specs; line_no orders lines of one date."""
-    return with_spec(lines)
+    """Order lines with their parsed specs; line_no orders lines of one date.  Each distinct
+    description is parsed once."""
+    specs = with_spec(lines.select("description").distinct())
+    return lines.join(specs, lines["description"].eqNullSafe(specs["description"]), "left").drop(specs["description"])
 
 
 def load_cases(spark: SparkSession, path: str) -> DataFrame:
