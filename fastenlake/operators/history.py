@@ -170,11 +170,13 @@ def preferences(profiled: DataFrame, table: DataFrame) -> DataFrame:
     return profiled.where("n_eff > 0").select("customer_id").join(found, "customer_id")
 
 
-def personal_reasons(rows: DataFrame, known: Customers) -> DataFrame:
-    """rows: what prior() returned, of whole compatible sets.  Adds reason and overridden_by."""
+def personal_reasons(rows: DataFrame, known: Customers, among: DataFrame | None = None) -> DataFrame:
+    """rows: what prior() returned, or some of them; among: all rows of the same compatible
+    sets (default: rows).  Adds reason and overridden_by."""
     prefers = known.preferences.select("customer_id", F.col("material").alias("p_material"), F.col("finish").alias("p_finish"))
     found = rows.join(prefers, "customer_id", "left")
-    there = found.groupBy("request_id").agg(*[F.max(yes(F.col(f"i_{a}") == F.col(f"p_{a}"))).alias(f"there_{a}") for a in ("material", "finish")])
+    whole = (rows if among is None else among).select("request_id", "customer_id", "i_material", "i_finish").join(prefers, "customer_id", "left")
+    there = whole.groupBy("request_id").agg(*[F.max(yes(F.col(f"i_{a}") == F.col(f"p_{a}"))).alias(f"there_{a}") for a in ("material", "finish")])
     found = found.join(there, "request_id")
     tables = {"material": vocab.MATERIAL_FAMILY, "finish": vocab.FINISH_FAMILY}
     named = {"material": ex.material_name(F.col("p_material")), "finish": ex.finish_name(F.col("p_finish"))}

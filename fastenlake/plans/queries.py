@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fastenlake import vocab
+from fastenlake.functions import text as tx
+from fastenlake.functions.parse import lexical_tokens, query_spec, register
 from fastenlake.operators import evaluate as ev
 from fastenlake.operators import explain as ex
 from fastenlake.operators import history as hs
 from fastenlake.operators import lexical as lx
 from fastenlake.operators import matching as mt
 from fastenlake.operators import profile as pf
-from fastenlake.functions import text as tx
-from fastenlake.functions.parse import query_spec
 from fastenlake.plans import bridge as br
 from fastenlake.plans.engine import Engine, kept
 from fastenlake.sources.tables import first_by
@@ -121,8 +121,6 @@ def unit_conversion(spark, sf_dir):
 WITH w AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS a FROM part), v AS (SELECT unnest([{", ".join("'" + w + "'" for w in sorted(tx.vocabulary()[0]))}]) AS b)
 SELECT a, b FROM w, v WHERE damerau_levenshtein(a, b) <= 1 UNION SELECT b, b FROM v""")
 def osa_neighbours(spark, sf_dir):
-    from fastenlake.functions.parse import register
-
     register(spark)
     words = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split(F.lower("p_name"), " ")).alias("a")).distinct()
     known = spark.createDataFrame([(w,) for w in sorted(tx.vocabulary()[0])], "b string")  # the lexicon's words: fixed size
@@ -217,9 +215,6 @@ def near_misses(spark, sf_dir):
 
 # --- Lexical ---
 
-_WORDS = "words AS (SELECT sku, unnest(string_split(lower(replace(replace(description, '\"', 'in'), 'MM ', 'mm ')), ' ')) AS term FROM act)"
-
-
 @query(f"""
 WITH {_CAT}, t AS (SELECT sku, unnest(string_split(lower(description), ' ')) AS term FROM act), tf AS (SELECT sku, term, count(*) AS tf FROM t GROUP BY 1, 2),
 dl AS (SELECT sku, sum(tf) AS dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
@@ -235,11 +230,10 @@ q AS (SELECT request_id, unnest(string_split(query, ' ')) AS term, r_material, r
 s AS (SELECT request_id, sku, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN dl USING (sku) JOIN df USING (term) CROSS JOIN c GROUP BY 1, 2)
 SELECT request_id, count(*) AS hits, round(max(score) - min(score), 6) AS spread FROM s GROUP BY 1""")
 def bm25_scores(spark, sf_dir):
-    from fastenlake.functions.parse import lexical_tokens
-
-    bare = br.requests(spark, sf_dir).where("request_id % 8 = 6").select("request_id", lexical_tokens("query", correct=True).alias("tokens"))
-    found = lx.scores(bare, lx.index(kept(br.catalog_items(spark, sf_dir))))
-    return found.groupBy("request_id").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("score") - F.min("score"), 6).alias("spread"))
+    bare = br.requests(spark, sf_dir).where("request_id % 8 = 6").select("request_id", lx.bag(lexical_tokens("query", correct=True)).alias("bag"))
+    found = lx.scores(bare.select("bag").distinct(), lx.index(kept(br.catalog_items(spark, sf_dir))))
+    spread = found.groupBy("bag").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("score") - F.min("score"), 6).alias("spread"))
+    return bare.join(spread, "bag").select("request_id", "hits", "spread")
 
 
 # --- History ---
