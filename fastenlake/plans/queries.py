@@ -17,7 +17,8 @@ from fastenlake.operators import lexical as lx
 from fastenlake.operators import matching as mt
 from fastenlake.operators import profile as pf
 from fastenlake.plans import bridge as br
-from fastenlake.plans.engine import Engine, kept
+from fastenlake.plans.engine import Engine
+from fastenlake.plans.stage import kept
 from fastenlake.sources.tables import first_by
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
