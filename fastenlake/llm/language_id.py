@@ -12,9 +12,9 @@ the lowest cross-entropy per character wins.
 
 Training reads a bounded hash sample of the labelled rows, about SAMPLE_DOCS per
 language (whole texts); one in CALIBRATE of them isn't counted but calibrates
-rejection: a text is rejected if its cross-entropy lies above every calibration
-text's and its excess over the mean, times the square root of its length, above
-SLACK times the largest there.
+rejection: a text is rejected if its cross-entropy exceeds the mean by more than
+SLACK times the largest excess of a calibration text, and by more than SLACK times
+the largest such excess in units of one over the square root of the length.
 
 Defined cases: null text or one without a letter is `und`, rejected, score 0;
 without any labelled row every text is; null lang rows aren't learned from; equal
@@ -38,7 +38,7 @@ from .common import remainder
 ORDER = 4
 SAMPLE_DOCS = 500
 CALIBRATE = 5
-SLACK = 2.0
+SLACK = 3.0
 #: The most n-gram types of one model set; the rarest beyond are left to back-off.
 MAX_TYPES = 3_000_000
 #: Characters scored at once.
@@ -158,7 +158,7 @@ class Models:
         score = 1 / np.exp2(np.minimum((ce.min(axis=1)[:, None] - ce) * n[:, None], 0)).sum(axis=1)
         mean, most, excess = self.limits[best].T
         low = ce[rows, best]
-        out = (low > most) & ((low - mean) * np.sqrt(np.maximum(n, 1)) > SLACK * excess)
+        out = (low - mean > SLACK * (most - mean)) & ((low - mean) * np.sqrt(np.maximum(n, 1)) > SLACK * excess)
         return [(self.langs[b], float(s), bool(o), float(x)) if k else (UNKNOWN, 0.0, True, None) for b, s, o, x, k in zip(best, score, out, low, n > 0, strict=True)]
 
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool, float | None]]:
