@@ -141,12 +141,18 @@ class Customers:
         return cls(keep(profiled.join(maps, "customer_id")), bought, gone, keep(siblings(gone)), keep(preferences(profiled, table)))
 
 
+def with_profile(requests: DataFrame, known: Customers) -> DataFrame:
+    """requests with what their customer's profile says; done before candidates join, it
+    costs one row a request instead of one a candidate."""
+    return requests.join(known.profiles, "customer_id", "left")
+
+
 def prior(candidates: DataFrame, known: Customers, config: vocab.Config = vocab.DEFAULT) -> DataFrame:
     """candidates: compatible (request, item) rows of requests with a customer, with the
     class and item columns and request_id, customer_id.  Adds has_profile, n_eff, repeat,
     bought, last_order_date, sibling, prior.  A customer without lines has no profile
     and gets the uniform prior."""
-    found = candidates.join(known.profiles, "customer_id", "left")
+    found = candidates if "lambda" in candidates.columns else with_profile(candidates, known)
     found = found.join(known.purchases.select("customer_id", "sku", "bought", "last_order_date", "repeat"), ["customer_id", "sku"], "left")
     found = found.withColumn("sibling_key", sibling_key(F.col("i_system"), F.col("i_nominal"), F.col("i_type"), F.col("i_material_family")))
     found = found.join(known.siblings, ["customer_id", "sibling_key"], "left").drop("sibling_key")
@@ -155,11 +161,12 @@ def prior(candidates: DataFrame, known: Customers, config: vocab.Config = vocab.
     factor = F.lit(1.0)
     for a, stated, value in (("material", "q_material", "i_material"), ("finish", "q_finish", "i_finish"), ("threadSystem", "q_nominal", "i_system")):
         factor = factor * F.when(F.col(stated).isNull(), F.coalesce(F.col(f"share_{a}")[F.col(value)], F.lit(1.0))).otherwise(1.0)
-    found = found.withColumn("repeat", repeat).withColumn("__w", (1 + config.w_sku * F.col("repeat")) * factor)
-    mass = found.groupBy("request_id").agg(F.sum("__w").alias("__mass"), F.count(F.lit(1)).alias("__n"))
-    lam = F.coalesce("lambda", F.lit(0.0))
+    found = found.withColumn("repeat", repeat).withColumn("__w", (1 + config.w_sku * F.col("repeat")) * factor).drop(*[f"share_{a}" for a in SHARES])
+    mine = Window.partitionBy("request_id")
+    mass, n, lam = F.sum("__w").over(mine), F.count(F.lit(1)).over(mine), F.coalesce("lambda", F.lit(0.0))
+    found = found.withColumns({"__mass": mass, "__n": n})
     q = lam * F.when(F.col("__mass") == 0, 1 / F.col("__n")).otherwise(F.col("__w") / F.col("__mass")) + (1 - lam) / F.col("__n")
-    return found.join(mass, "request_id").withColumn("prior", q).withColumn("has_profile", F.col("lambda").isNotNull()).drop("__w", "__mass", "__n", "lambda", *[f"share_{a}" for a in SHARES])
+    return found.withColumn("prior", q).withColumn("has_profile", F.col("lambda").isNotNull()).drop("__w", "__mass", "__n", "lambda")
 
 
 def preferences(profiled: DataFrame, table: DataFrame) -> DataFrame:
