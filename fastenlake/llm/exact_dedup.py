@@ -13,9 +13,9 @@ its *recipe*, the ordered list of its chunk identifiers.
    identifiers then mean equal bytes.
 3. Documents with an unverified identifier (two contents under one hash) carry
    those chunks' contents in their key, so they too are compared exactly.
-4. Documents group by recipe; group rows join back on the recipe.  One hot group
-   is partly combined before the exchange, and its side of the join is split by
-   adaptive skew handling.
+4. Documents group by recipe; the group rows are stored and join back on the
+   recipe.  One hot group is partly combined before the exchange, and adaptive skew
+   handling splits the documents' side of the join.
 
 Defined cases: null text counts as empty; all empty texts are one group; a null
 doc_id sorts behind every other one; repeated rows of one doc_id are each
@@ -87,4 +87,5 @@ def exact_dedup(docs: DataFrame, identify: Callable[[Column], Column] = chunk_id
     named = stored(named, "recipes")
     order = F.struct("n_cp", (-F.col("doc_id")).alias("first"))
     groups = named.groupBy("recipe", "exact").agg(F.count(F.lit(1)).alias("group_size"), (-F.max(order)["first"]).alias("keep_id"))
+    groups = stored(groups, "copy-groups")  # on its own, so that the join below can split a hot group's rows
     return named.join(groups, ["recipe", "exact"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
