@@ -3,10 +3,13 @@ skus (the whole ranking), confidence (of the first)."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fastenlake import vocab
+from fastenlake.operators.lexical import lexical_only
 from fastenlake.operators.matching import family, mm_key
 
 DIGITS = 6
@@ -130,3 +133,31 @@ def agreement(served: DataFrame, full: DataFrame) -> DataFrame:
     head = F.slice(F.col("f.skus"), 1, F.greatest(F.size("s.skus"), F.lit(1)))
     what = F.when(F.col("s.status") != F.col("f.status"), "status").when(F.col("s.compatible_count") != F.col("f.compatible_count"), "count").when((F.size("s.skus") > 0) & (head != F.col("s.skus")), "results")
     return j.select("request_id", what.alias("what")).where("what IS NOT NULL")
+
+
+def control(cases: DataFrame, items: DataFrame, config: vocab.Config = vocab.DEFAULT) -> DataFrame:
+    """Outcomes of the lexical control, for retrieval() and accuracy(), with `budgeted`: its
+    first as many results as a case has labels, for set_recovery() as skus.
+
+    cases: request_id, query, intended, expected, expected_status."""
+    most = max(1, items.count())
+    wide = replace(config, max_limit=most)
+    answers, hits = lexical_only(cases.select("request_id", "query", F.lit(most).alias("limit")), items, wide)
+    ranked = hits.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sku", "confidence"))).alias("hits"))
+    out = cases.join(answers.select("request_id", "status"), "request_id").join(ranked, "request_id", "left")
+    skus = F.coalesce("hits.sku", F.array().cast("array<string>"))
+    return out.select(*cases.columns, "status", skus.alias("skus"), F.get("hits.confidence", F.lit(0)).alias("confidence"), F.slice(skus, 1, F.greatest(F.size("expected"), F.lit(1))).alias("budgeted"))
+
+
+def customer_listing(lines: DataFrame, customer_id: str) -> DataFrame:
+    """A customer's lines, newest first, lines of a date in their order."""
+    return lines.where(F.col("customer_id") == customer_id).orderBy(F.desc("order_date"), "line_no").select("order_date", "sku", "quantity", "description")
+
+
+def review_table(cases: DataFrame, items: DataFrame) -> DataFrame:
+    """id, query, customer, status, expected (SKU and description), top1 of a label set."""
+    known = items.select("sku", "description")
+    named = F.concat("sku", F.lit(" — "), F.coalesce("description", F.lit("?")))
+    each = cases.select("id", F.posexplode("expected").alias("pos", "sku")).join(known, "sku", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", named.alias("text")))).alias("x"))
+    first = cases.select("id", F.col("expectedTop1").alias("sku")).join(known, "sku", "left").select("id", F.when(F.col("sku").isNotNull(), named).alias("top1"))
+    return cases.join(each, "id", "left").join(first, "id", "left").select("id", "query", F.col("customerId").alias("customer"), F.col("expectedStatus").alias("status"), F.coalesce(F.array_join("x.text", "<br>"), F.lit("")).alias("expected"), F.coalesce("top1", F.lit("")).alias("top1"))

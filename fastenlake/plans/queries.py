@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fastenlake import vocab
 from fastenlake.functions import text as tx
 from fastenlake.functions.parse import lexical_tokens, query_spec, register
+from fastenlake.operators import display as dp
 from fastenlake.operators import evaluate as ev
 from fastenlake.operators import explain as ex
 from fastenlake.operators import history as hs
@@ -227,11 +228,12 @@ def bm25_index(spark, sf_dir):
 @query(f"""
 WITH {_CAT}, {_REQ}, t AS (SELECT sku, unnest(string_split(lower(description), ' ')) AS term FROM act), tf AS (SELECT sku, term, count(*) AS tf FROM t GROUP BY 1, 2),
 dl AS (SELECT sku, sum(tf) AS dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-q AS (SELECT request_id, unnest(string_split(query, ' ')) AS term, r_material, r_finish FROM req WHERE request_id % 8 = 6),
+q AS (SELECT request_id, unnest(string_split(query, ' ')) AS term, r_material, r_finish FROM req WHERE r_nominal IS NULL AND r_type IS NULL),
 s AS (SELECT request_id, sku, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN dl USING (sku) JOIN df USING (term) CROSS JOIN c GROUP BY 1, 2)
 SELECT request_id, count(*) AS hits, round(max(score) - min(score), 6) AS spread FROM s GROUP BY 1""")
 def bm25_scores(spark, sf_dir):
-    bare = br.requests(spark, sf_dir).where("request_id % 8 = 6").select("request_id", lx.bag(lexical_tokens("query", correct=True)).alias("bag"))
+    read = br.requests(spark, sf_dir).withColumn("spec", query_spec("query"))
+    bare = read.where("spec.diameter IS NULL AND spec.type IS NULL").select("request_id", lx.bag(lexical_tokens("query", correct=True)).alias("bag"))
     found = lx.scores(bare.select("bag").distinct(), lx.index(kept(br.catalog_items(spark, sf_dir))))
     spread = found.groupBy("bag").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("score") - F.min("score"), 6).alias("spread"))
     return bare.join(spread, "bag").select("request_id", "hits", "spread")
@@ -393,14 +395,40 @@ best AS (SELECT request_id, min(sku) AS top_sku, count(*) AS shown FROM ranked W
 alts AS (SELECT request_id, count(*) AS near, min(CASE WHEN place = 1 THEN sku END) AS first_alternative FROM (SELECT near.*, CASE WHEN c.n IS NULL THEN near."limit" ELSE near."limit" - c.n END AS room FROM near JOIN (SELECT request_id, n FROM counts) c USING (request_id)) x WHERE place <= room GROUP BY 1)
 SELECT request_id, {_STATUS} AS status, coalesce(n, 0) AS compatible_count, top_sku, coalesce(shown, 0) AS shown, coalesce(near, 0) AS near, first_alternative,
   concat(CASE WHEN n IS NULL THEN 'failedConstraint,' ELSE '' END, CASE WHEN r_residue = 1 THEN 'unverifiedResidue,' ELSE '' END, CASE WHEN n > 1 THEN 'tiedSet,' ELSE '' END) AS notes
-FROM counts LEFT JOIN best USING (request_id) LEFT JOIN alts USING (request_id) WHERE request_id % 2 = 1""")
+FROM counts LEFT JOIN best USING (request_id) LEFT JOIN alts USING (request_id) WHERE customer_id IS NULL""")
 def match_responses(spark, sf_dir):
-    """Requests without a customer; every second part makes one."""
+    """The requests without a customer: their whole answers."""
     out = _engine(spark, sf_dir).match(br.requests(spark, sf_dir).where("customer_id IS NULL"))
     notes = F.concat(F.array_join("notes.code", ","), F.when(F.size("notes") > 0, ",").otherwise(""))
     return out.select("request_id", "status", "compatible_count", F.get(F.col("results"), F.lit(0))["sku"].alias("top_sku"), F.size("results").cast("long").alias("shown"), F.size("alternatives").cast("long").alias("near"), F.get(F.col("alternatives"), F.lit(0))["sku"].alias("first_alternative"), notes.alias("notes"))
 
 
+_BY = "(SELECT request_id, list_filter([" + ", ".join(f"CASE WHEN count(DISTINCT coalesce(CAST({c} AS VARCHAR), '')) > 1 THEN '{a}' END" for a, c in (("diameter", "b_nominal"), ("pitch", "CASE WHEN k % 2 = 0 THEN b_pitch END"), ("length", "b_mm"), ("type", "b_type"), ("material", "b_material"), ("finish", "b_finish"), ("standard", "b_standard"))) + "], lambda x: x IS NOT NULL) AS words FROM pairs GROUP BY 1) d"
+
+
+@query(f"""{_MATCH}, {_COUNTS} SELECT request_id, CASE WHEN n = 1 THEN '1 compatible item' WHEN n > 1 AND (r_nominal IS NOT NULL OR r_type IS NOT NULL) THEN concat(n, ' compatible items') END AS headline,
+  CASE WHEN n = 1 THEN 'Exactly one catalog item satisfies this query.' WHEN len(words) = 0 THEN 'No further attribute would separate these options.'
+    ELSE concat('Specify ', CASE WHEN len(words) = 1 THEN words[1] ELSE concat(array_to_string(words[1:-2], ', '), ' or ', words[-1]) END, ' to narrow these down.') END AS sentence,
+  CAST(CASE WHEN n > 1 THEN greatest(least(n, 10) - least(n, "limit"), 0) ELSE 0 END AS BIGINT) AS more
+FROM counts JOIN {_BY} USING (request_id) WHERE customer_id IS NULL AND n > 0 AND (r_nominal IS NOT NULL OR r_type IS NOT NULL)""")
+def display_sentences(spark, sf_dir):
+    out = dp.displayed(_engine(spark, sf_dir).match(br.requests(spark, sf_dir).where("customer_id IS NULL")))
+    return out.where("status IN ('unique', 'ambiguous')").select("request_id", "headline", "sentence", F.col("more").cast("long").alias("more"))
+
+
+@query(f"""
+WITH {_CAT}, {_REQ}, t AS (SELECT sku, unnest(string_split(lower(description), ' ')) AS term FROM act), tf AS (SELECT sku, term, count(*) AS tf FROM t GROUP BY 1, 2),
+dl AS (SELECT sku, sum(tf) AS dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+q AS (SELECT request_id, unnest(string_split(replace(query, 'please quote 20 pcs of ', ''), ' ')) AS term FROM req),
+s AS (SELECT request_id, sku, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN dl USING (sku) JOIN df USING (term) CROSS JOIN c GROUP BY 1, 2),
+r AS (SELECT request_id, count(*) AS hits, list(score ORDER BY score DESC) AS best FROM s GROUP BY 1)
+SELECT request_id, coalesce(hits, 0) AS compatible_count, CASE WHEN hits IS NULL THEN 'none' WHEN hits = 1 OR 1 - best[2] / best[1] >= 0.01 THEN 'unique' ELSE 'ambiguous' END AS status
+FROM req LEFT JOIN r USING (request_id)""")
+def lexical_control(spark, sf_dir):
+    answers, _ = lx.lexical_only(br.requests(spark, sf_dir), kept(br.catalog_items(spark, sf_dir)))
+    return answers.select("request_id", "compatible_count", "status")
+
+
 @query()
 def match_with_history(spark, sf_dir):
     """Every request with its customer: the whole answer, references included."""
@@ -463,10 +491,11 @@ def eval_latency(spark, sf_dir):
     return ev.latency(events.select(F.col("value").alias("latency_ms")))
 
 
-@query("SELECT count(*) AS shared FROM (SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS q FROM customer INTERSECT SELECT DISTINCT regexp_replace(lower(replace(c_name, '#', ' ')), '[^a-z0-9]', '', 'g') FROM customer WHERE c_custkey % 2 = 0) x")
+@query(f"""WITH {_REQ} SELECT q AS form FROM (SELECT regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS q FROM req WHERE customer_id IS NULL
+  INTERSECT SELECT regexp_replace(lower(query), '[^a-z0-9]', '', 'g') FROM req WHERE customer_id IS NOT NULL) x""")
 def eval_leaks(spark, sf_dir):
-    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_name").alias("query"))
-    return ev.leaks(names, names.where("c_custkey % 2 = 0").withColumn("query", F.replace("query", F.lit("#"), F.lit(" ")))).agg(F.count(F.lit(1)).alias("shared"))
+    asked = br.requests(spark, sf_dir)
+    return ev.leaks(asked.where("customer_id IS NULL"), asked.where("customer_id IS NOT NULL"))
 
 
 # --- Profiling ---
