@@ -491,11 +491,11 @@ def eval_latency(spark, sf_dir):
     return ev.latency(events.select(F.col("value").alias("latency_ms")))
 
 
-@query(f"""WITH {_REQ} SELECT q AS form FROM (SELECT regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS q FROM req WHERE customer_id IS NULL
-  INTERSECT SELECT regexp_replace(lower(query), '[^a-z0-9]', '', 'g') FROM req WHERE customer_id IS NOT NULL) x""")
+@query(f"""WITH {_CAT}, {_REQ} SELECT q AS form FROM (SELECT regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS q FROM req
+  INTERSECT SELECT regexp_replace(lower(description), '[^a-z0-9]', '', 'g') FROM cat) x""")
 def eval_leaks(spark, sf_dir):
-    asked = br.requests(spark, sf_dir)
-    return ev.leaks(asked.where("customer_id IS NULL"), asked.where("customer_id IS NOT NULL"))
+    """Requests that repeat a catalog description word for word."""
+    return ev.leaks(br.requests(spark, sf_dir), br.catalog(spark, sf_dir).select(F.col("description").alias("query")))
 
 
 # --- Profiling ---
