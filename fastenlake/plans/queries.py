@@ -491,11 +491,12 @@ def eval_latency(spark, sf_dir):
     return ev.latency(events.select(F.col("value").alias("latency_ms")))
 
 
-@query(f"""WITH {_CAT}, {_REQ} SELECT q AS form FROM (SELECT regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS q FROM req
-  INTERSECT SELECT regexp_replace(lower(description), '[^a-z0-9]', '', 'g') FROM cat) x""")
+@query("""SELECT md5(q) AS form FROM (SELECT regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS q FROM documents WHERE source = 'src0'
+  INTERSECT SELECT regexp_replace(lower(text), '[^a-z0-9]', '', 'g') FROM documents WHERE source <> 'src0') x""")
 def eval_leaks(spark, sf_dir):
-    """Requests that repeat a catalog description word for word."""
-    return ev.leaks(br.requests(spark, sf_dir), br.catalog(spark, sf_dir).select(F.col("description").alias("query")))
+    """Texts of one source that another source repeats, apart from case and punctuation."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.col("text").alias("query"))
+    return ev.leaks(docs.where("source = 'src0'"), docs.where("source <> 'src0'")).select(F.md5("form").alias("form"))
 
 
 # --- Profiling ---
