@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, replace
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, lru_cache
+from typing import NamedTuple
 
 from fastenlake import vocab
 
@@ -16,18 +17,22 @@ _WORD = re.compile(f"[^{_SPACES}]+")
 _EDGE = "0-9\"'/″”’" + "".join(vocab.FRACTIONS)
 _CROSS_INSIDE = re.compile(f"(?<=[{_EDGE}])[x×](?=[0-9])")
 _CROSS_LAST = re.compile(f"[{_EDGE}][x×]$")
+_CROSS_FIRST = re.compile("[x×][0-9]")
+_ENDS_SIZE = re.compile(f"[{_EDGE}]$")
 _FRACTION = re.compile(f"([0-9]?)([{''.join(vocab.FRACTIONS)}])")
 _GLUED = re.compile(r"([0-9][0-9./-]*?)(" + "|".join(map(re.escape, vocab.UNIT_WORDS)) + ")")
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     """A word of a request; start and end cut it out of the original text."""
 
     text: str
     start: int
     end: int
 
+    def saying(self, text: str) -> Token:
+        return self if text == self.text else Token(text, self.start, self.end)
+
 
 def _words(text: str) -> list[Token]:
     found = ((m.group().lower().rstrip(",.;:!?"), m.start()) for m in _WORD.finditer(text))
@@ -39,13 +44,16 @@ def _crossed(words: list[Token]) -> list[Token]:
     out = []
     for i, w in enumerate(words):
         before, after = words[i - 1].text if i else "", words[i + 1].text if i + 1 < len(words) else ""
+        if "x" not in w.text and "×" not in w.text:
+            out.append(w)
+            continue
         cuts = {m.start() for m in _CROSS_INSIDE.finditer(w.text)}
         if after[:1] in tuple("0123456789") and _CROSS_LAST.search(w.text):
             cuts.add(len(w.text) - 1)
-        if re.search(f"[{_EDGE}]$", before) and re.match("[x×][0-9]", w.text):
+        if _ENDS_SIZE.search(before) and _CROSS_FIRST.match(w.text):
             cuts.add(0)
         if not cuts:
-            out.append(replace(w, text=w.text.replace("×", "x")))
+            out.append(w.saying(w.text.replace("×", "x")))
             continue
         edges = sorted({0, len(w.text)} | cuts | {c + 1 for c in cuts})
         out += [Token("x" if a in cuts else w.text[a:b], w.start + a, w.start + b) for a, b in zip(edges, edges[1:], strict=False)]
@@ -58,7 +66,10 @@ def _plain_characters(text: str) -> str:
     return _FRACTION.sub(lambda m: (m[1] + "-" if m[1] else "") + vocab.FRACTIONS[m[2]], text)
 
 
-def _unit_spelling(text: str) -> str:
+@lru_cache(maxsize=100_000)
+def _respelled(text: str) -> str:
+    """Quotes, fractions and units in their plain spelling."""
+    text = _plain_characters(text)
     if text in vocab.UNIT_WORDS:
         return vocab.UNIT_WORDS[text]
     m = _GLUED.fullmatch(text)
@@ -100,8 +111,8 @@ def _counted(words: list[Token]) -> set[int]:
 
 def cleaned(text: str) -> tuple[list[Token], list[str]]:
     """The words that say something, and which notes the dropped ones leave."""
-    words = [replace(w, text=_unit_spelling(_plain_characters(w.text))) for w in _crossed(_words(text))]
-    words = [replace(w, text=vocab.PLURALS.get(w.text, w.text)) for w in _numbered(words)]
+    words = [w.saying(_respelled(w.text)) for w in _crossed(_words(text))]
+    words = [w.saying(vocab.PLURALS.get(w.text, w.text)) for w in _numbered(words)]
     counted = _counted(words)
     why: list[str | None] = []
     for i, w in enumerate(words):
@@ -147,6 +158,7 @@ def number(text: str) -> float | None:
     return value if math.isfinite(value) else None
 
 
+@lru_cache(maxsize=100_000)
 def size_of(text: str) -> Size | None:
     text = text.strip()
     low = text.lower()
