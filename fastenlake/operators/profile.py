@@ -96,6 +96,20 @@ def phrases(rows: DataFrame) -> DataFrame:
     return rows.groupBy("type_phrase").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def forms(rows: DataFrame) -> DataFrame:
+    """letters (upper, lower, mixed), spaced (outer or double blanks), unit, separator, rows:
+    how descriptions are written."""
+    d = F.col("description")
+    letters = F.when(d == F.upper(d), "upper").when(d == F.lower(d), "lower").otherwise("mixed")
+    unit = F.when(d.rlike(r'\d"'), '"').when(d.rlike(r"(?i)\d ?mm\b"), "mm").when(d.rlike(r"(?i)\d ?ft\b"), "ft").when(d.rlike(r"(?i)\d ?in\b"), "in").otherwise("none")
+    return rows.groupBy(letters.alias("letters"), (d.rlike("  ") | (d != F.trim(d))).alias("spaced"), unit.alias("unit"), d.rlike("(?i) x ").alias("separator")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def lengths(items: DataFrame) -> DataFrame:
+    """type, mm, skus of the items that have a length."""
+    return items.where("i_mm IS NOT NULL").groupBy(F.col("i_type").alias("type"), F.col("i_mm").alias("mm")).agg(F.count(F.lit(1)).alias("skus"))
+
+
 def history(lines: DataFrame, items: DataFrame) -> DataFrame:
     """Per customer: lines, dates, skus, repeats, metric_share, inactive_skus."""
     off = items.where("NOT active").select("sku", F.lit(True).alias("off"))

@@ -512,6 +512,21 @@ def catalog_profile_types(spark, sf_dir):
     return pf.types(br.catalog_items(spark, sf_dir))
 
 
+@query(f"WITH c AS (SELECT * FROM ({br.CATALOG}) x) SELECT CASE WHEN k % 4 = 0 THEN 'lower' ELSE 'upper' END AS letters, FALSE AS spaced, CASE WHEN b_length IS NULL THEN 'none' WHEN b_system = 'metric' THEN 'mm' ELSE '\"' END AS unit, b_length IS NOT NULL AS separator, count(*) AS rows FROM c GROUP BY 1, 2, 3, 4")
+def catalog_profile_forms(spark, sf_dir):
+    return pf.forms(br.catalog(spark, sf_dir))
+
+
+@query(f"WITH {_CAT} SELECT upper(concat(CASE WHEN k % 3 = 0 THEN b_short ELSE b_phrase END, CASE WHEN b_standard = 'CLASS 8' THEN ' CLASS 8' ELSE '' END)) AS type_phrase, count(*) AS rows FROM cat GROUP BY 1")
+def catalog_profile_phrases(spark, sf_dir):
+    return pf.phrases(pf.description_fields(first_by(br.catalog(spark, sf_dir), ["sku"], [F.col("line_no")])))
+
+
+@query(f"WITH {_CAT} SELECT b_type AS type, b_mm AS mm, count(*) AS skus FROM cat WHERE b_mm IS NOT NULL GROUP BY 1, 2")
+def catalog_profile_lengths(spark, sf_dir):
+    return pf.lengths(br.catalog_items(spark, sf_dir))
+
+
 @query(f"WITH {_CAT} SELECT b_material AS material, b_finish AS finish, count(*) AS skus FROM cat GROUP BY 1, 2")
 def catalog_profile_material_finish(spark, sf_dir):
     return pf.material_finish(br.catalog_items(spark, sf_dir))
