@@ -21,6 +21,7 @@ doc_id packs like any other; extra columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -40,8 +41,6 @@ MAX_TOKENS = 4096
 CLOSING_ID = 1
 #: Distinct words, and distinct parts of words, remembered by a Python worker; about 150 bytes each.
 MEMO = 250_000
-#: Pieces of one length that are ranked together, about.
-RANK_BUCKET = 50_000
 #: Rows of the plan that are broadcast, 40 bytes each.
 BROADCAST_PLAN = 2_000_000
 
@@ -204,7 +203,7 @@ def tokenised(docs: DataFrame, path: str, size: int = MAX_TOKENS, with_ids: bool
 
 def _ranked(pieces: DataFrame, total: int) -> DataFrame:
     """pieces with rank: 0, 1, ... among those of one length."""
-    buckets = max(1, total // RANK_BUCKET)
+    buckets = max(1, math.isqrt(total))  # as many buckets of a length as pieces in a bucket, at most
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).select("length", "bucket", "before")

@@ -64,7 +64,6 @@ TEXTS = ["", None, "Hello, World's  end ", "á é x", "<|endoftext|>y <|start
 
 @pytest.mark.parametrize("table", [False, True])
 def test_packed_covers_every_piece_with_the_tokenizers_ids(spark, monkeypatch, table):
-    monkeypatch.setattr(pk, "RANK_BUCKET", 2)
     if table:
         monkeypatch.setattr(pk, "BROADCAST_PLAN", 0)
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(0, ""), (None, "null id")]
