@@ -8,8 +8,8 @@ one place and with consistent slots: one item value always stands for one docume
 value of its type and the other way round.  So a re-parameterised question is
 caught, and a passage that merely has the same frame with values mixed up isn't.
 Windows with fewer than LITERALS words that aren't placeholders say nothing and
-don't count.  Each text has two forms, with names as placeholders and with names as
-words: the second finds passages whose capitals were changed.
+don't count.  A text with names has two forms, with names as placeholders and with names
+as words: the second finds passages whose capitals were changed.  Equal forms are compared.
 
 The window hashes of the items are joined with those of the documents: by binary
 search in a broadcast sorted array if there are at most BROADCAST_WINDOWS, else by
@@ -73,8 +73,11 @@ class Template(NamedTuple):
     counts: np.ndarray  # bool: the window has enough literal words
 
 
-def templates(text: str | None) -> tuple[Template, Template]:
-    """The form with names as placeholders and the one with names as words."""
+Forms = tuple[Template | None, Template]
+
+
+def templates(text: str | None) -> Forms:
+    """The form with names as placeholders (None without a name) and the one with names as words."""
     raw = np.fromiter(map(_tokens.__getitem__, _TOKEN.findall(text or "")), np.uint64)
     kind = (raw & np.uint64(7)).astype(np.int8)
     begins = np.concatenate(([True], kind[:-1] == BREAK))[: len(kind)]
@@ -86,7 +89,8 @@ def templates(text: str | None) -> tuple[Template, Template]:
         words[which] = placeholder
         placed |= which
     name = (kind == CAPITALISED) & ~begins
-    return _form(np.where(name, np.uint64(NAME_HASH), words), placed | name, value, 1), _form(words, placed, value, 0)
+    named = _form(np.where(name, np.uint64(NAME_HASH), words), placed | name, value, 1) if name.any() else None
+    return named, _form(words, placed, value, 0)
 
 
 def _form(words: np.ndarray, placed: np.ndarray, value: np.ndarray, seed: int) -> Template:
@@ -140,13 +144,13 @@ def _rank(f: Found) -> tuple[float, bool]:
     return f.coverage, not f.changed
 
 
-def contains(doc: tuple[Template, Template], item: tuple[Template, Template]) -> Found:
-    """The better of both forms."""
-    return max((consistent(d, i) for d, i in zip(doc, item, strict=True)), key=_rank)
+def contains(doc: Forms, item: Forms) -> Found:
+    """The better of the forms that both have."""
+    return max((consistent(d, i) for d, i in zip(doc, item, strict=True) if d and i), key=_rank)
 
 
-def window_hashes(forms: tuple[Template, Template]) -> list[np.ndarray]:
-    return [np.unique(t.windows[t.counts]) for t in forms]
+def window_hashes(forms: Forms) -> list[np.ndarray]:
+    return [np.unique(t.windows[t.counts]) if t else np.zeros(0, np.uint64) for t in forms]
 
 
 PAIRS = "doc_id long, item_id long, coverage double, n_windows int, reparameterised boolean"
@@ -182,9 +186,9 @@ class Finder:
 
     def __call__(self, text: str | None) -> list[tuple]:
         doc, met = templates(text), []
-        if not len(self.h) or not len(doc[0].windows):
+        if not len(self.h) or not len(doc[1].windows):
             return []
-        for t in doc:
+        for t in filter(None, doc):
             at = np.minimum(np.searchsorted(self.h, t.windows), len(self.h) - 1)
             hit = np.unique(t.windows[(self.h[at] == t.windows) & t.counts])
             met += [self.of[a:z] for a, z in zip(np.searchsorted(self.h, hit), np.searchsorted(self.h, hit, "right"), strict=True)]
