@@ -141,6 +141,10 @@ class Customers:
         return cls(keep(profiled.join(maps, "customer_id")), bought, gone, keep(siblings(gone)), keep(preferences(profiled, table)))
 
 
+#: What prior() and personal_reasons() need of a compatible row
+CANDIDATE = ["class_key", "sku", "credit", "q_material", "q_finish", "q_nominal", "q_residue", "i_system", "i_nominal", "i_type", "i_material", "i_material_family", "i_finish"]
+
+
 def with_profile(requests: DataFrame, known: Customers) -> DataFrame:
     """requests with what their customer's profile says; done before candidates join, it
     costs one row a request instead of one a candidate."""

@@ -312,7 +312,7 @@ def _personal(spark, sf_dir) -> DataFrame:
     asked = m.asked.where("customer_id IS NOT NULL AND (q_nominal IS NOT NULL OR size(q_types) > 0)")
     known = hs.Customers.of(lines, m.items, keep=kept)
     asked = hs.with_profile(asked.select("request_id", "customer_id", "class_key", "limit"), known)
-    found = hs.prior(asked.join(mt.compatible(m.rows), "class_key"), known)
+    found = hs.prior(asked.join(mt.compatible(m.rows).select(*hs.CANDIDATE), "class_key"), known)
     return hs.personal_reasons(kept(found), known)
 
 
