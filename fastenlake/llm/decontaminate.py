@@ -1,15 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become word tokens (lower-cased, punctuation dropped); numbers, units behind
-a number, and names (capitalised words inside a sentence) become typed
+a number, and names (capitalised words) become typed
 placeholders, their values *slots*.  A benchmark item is found in a document if at
 least COVERAGE of its distinct template windows of WINDOW tokens occur there, in
 one place and with consistent slots: one item value always stands for one document
 value of its type and the other way round.  So a re-parameterised question is
 caught, and a passage that merely has the same frame with values mixed up isn't.
 Windows with fewer than LITERALS words that aren't placeholders say nothing and
-don't count.  A text with names has two forms, with names as placeholders and with names
-as words: the second finds passages whose capitals were changed.  Equal forms are compared.
+don't count.  A text has up to three forms: names inside a sentence as placeholders, all
+names as words (finds passages whose capitals were changed), and every capitalised word
+that isn't in COMMON as a placeholder wherever it stands (finds renamed subjects that
+begin sentences).  Equal forms are compared.
 
 The window hashes of the items are joined with those of the documents: by binary
 search in a broadcast sorted array if there are at most BROADCAST_WINDOWS, else by
@@ -43,7 +45,14 @@ BROADCAST_WINDOWS = 2_000_000
 MEMO = 200_000
 #: Units that are replaced behind a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l s sec min h hr hrs ms day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles foot feet inch inches gram grams litre litres liter liters percent dollar dollars euro euros cent cents degree degrees volt volts watt watts".split()
-WORD, CAPITALISED, NUMBER, BREAK, UNIT = range(5)
+#: Words that begin sentences in capitals and aren't names: English, German, French and Spanish.
+COMMON = """
+the an and or but if then so as at by for from in into of on to with after before during while when where why who whom whose what which how that this these those there here it its he she they we you his her their our my your is are was were be been do does did has have had can could should would shall must not no yes all each every some any many most more both one two three during since because although until calculate compute determine estimate evaluate find give given explain suppose let assume consider
+der die das den dem des ein eine einen einem einer eines und oder aber wenn dann als bei von vom aus mit nach vor im zu zum zur auf an wie was wer wem wen wessen wo wann warum wieviel viele welche welcher welches dies diese dieser dieses es er sie wir ihr sein seine ihre ist sind war waren hat haben hatte kann wird nicht kein keine alle jeder jede jedes berechne bestimme
+le la les un une des du de et ou mais si alors comme chez par pour dans en sur avec sans quand combien comment pourquoi qui que quoi quel quelle quels quelles ce cet cette ces il elle ils elles nous vous son sa ses leur leurs est sont ne pas au aux chaque tous toutes calculez trouvez
+el los las uno una unos unas del al y pero sin con para por desde hasta cuando cuanto cuantos cuántas cuántos cuánto cómo dónde qué quién cuál cuáles este esta estos estas eso ese esa su sus es son fue era ha han no se lo cada todos todas calcule halle
+""".split()
+WORD, CAPITALISED, NUMBER, BREAK, UNIT, COMMON_CAPITALISED = range(6)
 NUM_HASH, NAME_HASH, UNIT_HASH = (xxhash.xxh64_intdigest(x) & ~7 for x in (b"<num>", b"<name>", b"<unit>"))
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +63,7 @@ class Tokens(dict):
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        kind = NUMBER if token[0].isdecimal() else BREAK if token in ".!?:\n" else UNIT if low in _units else CAPITALISED if len(token) > 1 and token[0].isupper() and token[1:].islower() else WORD
+        kind = NUMBER if token[0].isdecimal() else BREAK if token in ".!?:\n" else UNIT if low in _units else WORD if len(token) < 2 or not token[0].isupper() or not token[1:].islower() else COMMON_CAPITALISED if low in _common else CAPITALISED
         found = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) & ~7 | kind
         if len(self) >= MEMO:
             self.clear()
@@ -62,7 +71,7 @@ class Tokens(dict):
         return found
 
 
-_units = frozenset(UNITS)
+_units, _common = frozenset(UNITS), frozenset(COMMON)
 _tokens = Tokens()
 
 
@@ -73,11 +82,24 @@ class Template(NamedTuple):
     counts: np.ndarray  # bool: the window has enough literal words
 
 
-Forms = tuple[Template | None, Template]
+#: Names inside sentences as placeholders, names as words, capitalised words as placeholders anywhere.
+Forms = tuple[Template | None, Template, Template | None]
+N_FORMS, PLAIN = 3, 1
+_SEEDS = np.array([1, 0, 2], np.uint64)
 
 
-def templates(text: str | None) -> Forms:
-    """The form with names as placeholders (None without a name) and the one with names as words."""
+class Stacked(NamedTuple):
+    """The forms a text has, one row each."""
+
+    made: list[int]
+    words: np.ndarray
+    placed: np.ndarray  # bool: a placeholder stands here
+    value: np.ndarray  # hashes of the words themselves, one row for all forms
+    windows: np.ndarray
+    counts: np.ndarray
+
+
+def stacked(text: str | None) -> Stacked:
     raw = np.fromiter(map(_tokens.__getitem__, _TOKEN.findall(text or "")), np.uint64)
     kind = (raw & np.uint64(7)).astype(np.int8)
     begins = np.concatenate(([True], kind[:-1] == BREAK))[: len(kind)]
@@ -88,19 +110,34 @@ def templates(text: str | None) -> Forms:
     for which, placeholder in ((kind == NUMBER, NUM_HASH), ((kind == UNIT) & after_number, UNIT_HASH)):
         words[which] = placeholder
         placed |= which
-    name = (kind == CAPITALISED) & ~begins
-    named = _form(np.where(name, np.uint64(NAME_HASH), words), placed | name, value, 1) if name.any() else None
-    return named, _form(words, placed, value, 0)
-
-
-def _form(words: np.ndarray, placed: np.ndarray, value: np.ndarray, seed: int) -> Template:
-    n = max(0, len(words) - WINDOW + 1)
-    h, literal = np.full(n, seed, np.uint64), np.zeros(n, np.int8)
+    anywhere = kind == CAPITALISED
+    names = {0: (anywhere | (kind == COMMON_CAPITALISED)) & ~begins, PLAIN: None, 2: anywhere}
+    made = [f for f, name in names.items() if name is None or name.any()]
+    w, p = np.repeat(words[None], len(made), axis=0), np.repeat(placed[None], len(made), axis=0)
+    for i, f in enumerate(made):
+        if names[f] is not None:
+            w[i, names[f]] = NAME_HASH
+            p[i] |= names[f]
+    n = max(0, len(value) - WINDOW + 1)
+    h, literal = np.repeat(_SEEDS[made][:, None], n, axis=1), np.zeros((len(made), n), np.int8)
     for k in range(WINDOW):
-        h = (h ^ words[k : k + n]) * _MULT
+        h ^= w[:, k : k + n]
+        h *= _MULT
         h ^= h >> np.uint64(31)
-        literal += ~placed[k : k + n]
-    return Template(words, np.where(placed, value, np.uint64(0)), h, literal >= LITERALS)
+        literal += ~p[:, k : k + n]
+    return Stacked(made, w, p, value, h, literal >= LITERALS)
+
+
+def forms(s: Stacked) -> Forms:
+    out: list[Template | None] = [None] * N_FORMS
+    for i, f in enumerate(s.made):
+        out[f] = Template(s.words[i], np.where(s.placed[i], s.value, np.uint64(0)), s.windows[i], s.counts[i])
+    return tuple(out)
+
+
+def templates(text: str | None) -> Forms:
+    """The three forms; those with names are None without one."""
+    return forms(stacked(text))
 
 
 class Found(NamedTuple):
@@ -145,7 +182,7 @@ def _rank(f: Found) -> tuple[float, bool]:
 
 
 def contains(doc: Forms, item: Forms) -> Found:
-    """The better of the forms that both have."""
+    """The best of the forms that both have."""
     return max((consistent(d, i) for d, i in zip(doc, item, strict=True) if d and i), key=_rank)
 
 
@@ -178,25 +215,31 @@ class Finder:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids = [i for i, _ in items]
         self.known = [templates(t) for _, t in items]
-        own = [h for k in self.known for h in window_hashes(k)]  # item i: rows 2i and 2i + 1
+        own = [h for k in self.known for h in window_hashes(k)]  # item i: rows N_FORMS * i and on
         self.size = [len(x) for x in own]
         h, of = np.concatenate([*own, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(own)), self.size)
         order = np.argsort(h, kind="stable")
         self.h, self.of = h[order], of[order]
+        # most windows of a text are in no item: a table by their first bits tells so
+        bits = min(24, max(16, (64 * len(h)).bit_length()))
+        self.shift, self.may = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.may[h >> self.shift] = True
 
     def __call__(self, text: str | None) -> list[tuple]:
-        doc, met = templates(text), []
-        if not len(self.h) or not len(doc[1].windows):
+        doc = stacked(text)
+        if not len(self.h):
             return []
-        for t in filter(None, doc):
-            at = np.minimum(np.searchsorted(self.h, t.windows), len(self.h) - 1)
-            hit = np.unique(t.windows[(self.h[at] == t.windows) & t.counts])
-            met += [self.of[a:z] for a, z in zip(np.searchsorted(self.h, hit), np.searchsorted(self.h, hit, "right"), strict=True)]
-        if not met:
+        hit = doc.windows[self.may.take((doc.windows >> self.shift).view(np.int64)) & doc.counts]
+        if len(hit):
+            hit = hit[self.h[np.minimum(np.searchsorted(self.h, hit), len(self.h) - 1)] == hit]
+        if not len(hit):
             return []
-        forms, n = np.unique(np.concatenate(met), return_counts=True)
-        near = {f // 2 for f, k in zip(forms.tolist(), n.tolist(), strict=True) if k >= COVERAGE * self.size[f]}
-        return [(self.ids[i], *f) for i in sorted(near) if (f := contains(doc, self.known[i])).coverage >= COVERAGE]
+        hit = np.unique(hit)  # forms have seeds of their own: none meets another's windows
+        met = [self.of[a:z] for a, z in zip(np.searchsorted(self.h, hit), np.searchsorted(self.h, hit, "right"), strict=True)]
+        rows, n = np.unique(np.concatenate(met), return_counts=True)
+        near = {r // N_FORMS for r, k in zip(rows.tolist(), n.tolist(), strict=True) if k >= COVERAGE * self.size[r]}
+        own = forms(doc) if near else None
+        return [(self.ids[i], *f) for i in sorted(near) if (f := contains(own, self.known[i])).coverage >= COVERAGE]
 
 
 def _by_broadcast(docs: DataFrame, items: list[tuple[int | None, str | None]]) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,29 @@ def test_both_ways_agree_with_brute_force(spark):
                 want.add((d, k, f.coverage, f.windows, f.changed))
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     assert want and {tuple(r) for r in dc.contaminated(a, b).collect()} == want == {tuple(r) for r in dc.contaminated(a, b, -1).collect()}
+
+
+RENAMED = [
+    ("Tom has 12 apples. Tom gives 5 apples to Sara. How many apples does Tom have left?", [("Tom", "Mia"), ("Sara", "Ken"), ("12", "30"), ("5", "7")]),
+    ("Anna buys 3 red pens at the shop. Peter buys 4 blue pens there too. Anna then gives 2 pens to Peter. Peter loses 1 of them at school. How many pens does Peter have now?", [("Anna", "Clara"), ("Peter", "Hugo"), ("3", "9"), ("4", "8")]),
+]
+
+
+@pytest.mark.parametrize("most", [dc.BROADCAST_WINDOWS, -1])
+def test_finds_items_whose_sentence_initial_subjects_are_renamed(spark, most):
+    rng, docs = random.Random(3), []
+    for k, (text, swaps) in enumerate(RENAMED):
+        changed = text
+        for a, b in swaps:
+            changed = changed.replace(a, b)
+        mixed = changed.replace(f" to {swaps[1][1]}", f" to {swaps[0][1]}")  # one name for two: another story
+        docs += [(10 * k, plain(rng, 30) + ". " + changed), (10 * k + 1, "Question " + changed), (10 * k + 2, text.lower()), (10 * k + 3, plain(rng, 9) + ". " + mixed), (10 * k + 4, plain(rng, 60))]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, t) for k, (t, _) in enumerate(RENAMED)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in dc.contaminated(a, b, most).collect()}
+    assert {g for g in got if g[0] % 10 != 3} == {(10 * k + i, k, i < 2) for k in range(2) for i in range(3)}
+    assert (3, 0, True) not in got
+
+
+def test_common_words_that_begin_sentences_stay_words():
+    two = dc.templates("How many pears are there in the box. Tom counts them all day long.")
+    assert two[0] is None and two[2] is not None and np.count_nonzero(two[2].slots) == 1
