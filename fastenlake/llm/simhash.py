@@ -17,7 +17,10 @@ differing bits runs over *distinct* fingerprints only:
 
 Defined cases: null or blank text has fingerprint zero, which links like any
 other; repeated rows each get a row; a null doc_id counts behind all others;
-extra columns are ignored; an empty table gives no rows.
+extra columns are ignored; an empty table gives no rows; a long text is hashed in
+blocks, with its words held whole by one task.  ``simhash_dedup`` judges rows by
+(doc_id, text): of each group the rows of the least doc_id stay (also several rows or
+texts of that doc_id), null doc_ids only in a group without any other.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -36,8 +39,8 @@ from .graph import components
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 FAN = 8
 HOT_BUCKET = 1 << 16
-#: The most doc_ids of dropped rows that are broadcast (about 16 bytes each); beyond, a shuffle join.
-BROADCAST_IDS = 1_000_000
+#: The most keys of dropped rows that are broadcast (about 32 bytes each); beyond, a shuffle join.
+BROADCAST_KEYS = 1_000_000
 #: Query-node pairs held at once while an index is walked.
 FRONTIER = 1 << 20
 
@@ -66,13 +69,19 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.fromiter((fingerprint(t) for t in b.column(3).to_pylist()), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(found.view(np.int64))], ["doc_id", "t1", "t2", "fp"])
+
+
+def text_key() -> list[Column]:
+    """Two hashes that stand for a text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, t1, t2 (text key), fp (the fingerprint's 64 bits as a long)."""
+    return docs.select(F.col("doc_id").cast("long"), *text_key(), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, t1 long, t2 long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -212,8 +221,8 @@ def fingerprint_links(values: DataFrame) -> DataFrame:
     return dealt.select("key", "sub", "fp").mapInArrow(_bucket_links, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (least doc_id reachable) for every row of docs."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, fp, component_id for every row of docs."""
     prints = stored(fingerprints(docs), "fingerprints")
     values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(fingerprint_links(values.select("fp"))).withColumnRenamed("node", "fp")
@@ -222,13 +231,19 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     component = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = joined.join(component, "root").select("fp", "component_id")
     alone = ends.where("root IS NULL").select("fp", F.col("least").alias("component_id"))
-    return prints.join(linked.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(linked.unionByName(alone), "fp")
+
+
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (least doc_id reachable) for every row of docs."""
+    return _grouped(docs).select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id isn't the least of its component; the rows
-    of a doc_id that stays all stay."""
-    found = simhash_groups(docs)
-    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sd_id")), "near-copies")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("__sd_id")), "left_anti")
+    """docs without the rows whose doc_id isn't the least of their component."""
+    lost = _grouped(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = stored(lost.select(F.col("doc_id").alias("__sd_id"), F.col("t1").alias("__sd_t1"), F.col("t2").alias("__sd_t2")).distinct(), "near-copies")
+    small = gone.count() <= BROADCAST_KEYS
+    t1, t2 = text_key()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__sd_id")) & (t1 == F.col("__sd_t1")) & (t2 == F.col("__sd_t2"))
+    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")

@@ -115,6 +115,17 @@ def test_simhash_matches_brute_force(spark):
     assert sorted(((str(r["doc_id"]), r["fp"] % (1 << 64), r["component_id"]) for r in got), key=str) == want
 
 
+@pytest.mark.parametrize("most", [sh.BROADCAST_KEYS, -1])
+def test_simhash_dedup_loses_no_unique_text_of_a_repeated_doc_id(spark, monkeypatch, most):
+    monkeypatch.setattr(sh, "BROADCAST_KEYS", most)
+    rng = random.Random(8)
+    copy, own, unnamed, two = (words(rng, 200) for _ in range(4))
+    rows = [(1, copy, "s", 0), (7, copy, "s", 1), (7, own, "s", 2), (None, copy + " ", "s", 3), (None, unnamed, "s", 4), (None, unnamed, "s", 5), (1, copy, "s", 6), (9, two, "s", 7), (8, two + "\n", "s", 8)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"t1": F.lit(1), "fp": F.lit("x")})
+    left = sh.simhash_dedup(df)
+    assert left.columns == df.columns and sorted(r["n_chars"] for r in left.collect()) == [0, 2, 4, 5, 6, 8]
+
+
 def random_ball(rng, n):
     base = [rng.getrandbits(64) for _ in range(5)]
     out = set()
