@@ -2,8 +2,10 @@
 
 Intermediate results that must outlive a lost executor are written as Parquet
 under ``spark.checkpoint.dir`` (the folder all executors share).  The setting is
-read from the session; only where it is unset (tests, a laptop) a temporary
-folder is made for the checkpoint directory.
+read from the session; only where it is unset and the master is local (tests, a
+laptop) a temporary folder is made for the checkpoint directory.  Tables a lazy result
+still reads stay until the interpreter exits; whoever has written that result may
+``forget`` them before.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,29 +28,40 @@ def checkpoint_root(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fastenlake-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back; cuts the lineage."""
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write df once to the shared folder (one folder for each value of column `by`) and
+    read it back; cuts the lineage."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(*tables: DataFrame) -> None:
     """Delete stored() tables that no later plan reads."""
-    gone = {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}
-    for item in [x for x in _written if any(_same(x[1], g) for g in gone)]:
-        _delete(*item)
-        _written.remove(item)
+    files = [f for t in tables for f in t.inputFiles()]
+    _drop([x for x in _written if any(f"/{x[1].rsplit('/', 1)[-1]}/" in f for f in files)])
+
 
+def stored_alone(build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """stored(build()); what build() stored itself is deleted, since its result is written."""
+    known = len(_written)
+    out = stored(build(), label)
+    _drop(_written[known:-1])
+    return out
 
-def _same(path: str, folder: str) -> bool:
-    return path.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]
+
+def _drop(items: list[tuple[SparkSession, str]]) -> None:
+    for item in items:
+        _delete(*item)
+        _written.remove(item)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

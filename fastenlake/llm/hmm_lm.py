@@ -10,11 +10,14 @@ Tokens: ASCII-lower-cased words between ASCII white space, then one end token.
    P(word | state) = P(class | state) * P(word | class) sums to one.
 3. ``encoded``: every document once to its class numbers (two bytes each) and its
    tail words, stored.
-4. Baum-Welch: each partition runs scaled forward-backward over its training
-   sequences (in segments of SEGMENT tokens) and gives expected counts, which are
+4. Baum-Welch: each partition runs scaled forward-backward over its whole training
+   sequences and gives expected counts, which are
    aggregated by class; STATES x classes parameters are re-estimated on the driver.
-   WARM_ROUNDS over a bounded hash sample of about WARM_DOCS documents find the
-   states; FULL_ROUNDS over every training document count them out.
+   A sweep finds the states: its SLICES rounds each take another hash slice of the training
+   documents, all of them once, and add to the halved counts of the slices before.
+   FULL_ROUNDS rounds over every training document follow.  A sequence longer than SEGMENT is
+   worked on in segments side by side: products of transfer matrices give each the
+   exact forward vector in front of it and the exact backward vector behind it.
 5. Scores: the scaled forward recursion gives the exact likelihood of each whole
    class sequence.  Tail words meet their counts by a shuffle join on the word; the
    head never does, so no word of the join is hot.
@@ -22,7 +25,9 @@ Tokens: ASCII-lower-cased words between ASCII white space, then one end token.
 Defined cases: null text counts as empty and is one end token; without a training
 document the model is the base model; a null doc_id is treated like the text ``''``
 when documents are split; repeated rows are counted and scored again; extra columns
-are ignored; an empty table gives no rows.
+are ignored; an empty table gives no rows; words of over HEAD_BYTES are never head
+words; a text's words are held whole by one task; scores don't depend on how rows lie
+in files or partitions but for rounding.
 """
 
 from __future__ import annotations
@@ -37,17 +42,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import stored
 
 HEAD, TAIL = 64_000, 1_024
 CLASSES = HEAD + TAIL  # below 65536: two bytes
 HEAD_LEAST = 3
 END = b" "  # no word has a space
 STATES = 8
+HEAD_BYTES = 256
 SEGMENT = 256
-WARM_DOCS, WARM_ROUNDS, FULL_ROUNDS = 2_000, 12, 2
+SLICES, FULL_ROUNDS = 12, 4
 #: Words a partition counts before it hands them on.
 FLUSH = 250_000
+#: Segments worked on side by side.
 BATCH = 2_048
 PRIOR = 50.0
 
@@ -110,7 +117,7 @@ class Ids(dict):
         return found
 
 
-ENCODED = "row long, doc_id long, train boolean, n_tokens long, n_head long, base_head double, seq binary, tail array<binary>, tail_n array<int>"
+ENCODED = "row long, doc_id long, train boolean, slice int, n_tokens long, n_head long, base_head double, seq binary, tail array<binary>, tail_n array<int>"
 
 
 def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -122,7 +129,7 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         base = np.concatenate([v.base(v.counts), np.zeros(CLASSES - len(v.head))])
         for b in batches:
             rows = []
-            for t in b.column(3).to_pylist():
+            for t in b.column(4).to_pylist():
                 words = words_of(t)
                 words.append(END)
                 seq = np.fromiter(map(ids.__getitem__, words), np.uint16, len(words))
@@ -131,9 +138,10 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 rows.append((len(words), len(words) - len(at), float(base[seq].sum()), seq.tobytes(), [*tail], [*tail.values()]))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], [c.split()[0] for c in ENCODED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *cols], [c.split()[0] for c in ENCODED.split(", ")])
 
-    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", "text").mapInArrow(run, ENCODED)
+    part = F.when(F.col("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES))).otherwise(-1).cast("int")
+    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", part.alias("slice"), "text").mapInArrow(run, ENCODED)
 
 
 @dataclass
@@ -167,18 +175,66 @@ def forward(hmm: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(hmm: Hmm, segments: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    """Adds the segments' expected counts (forward-backward) and returns their log likelihood."""
-    segments = sorted(segments, key=len, reverse=True)
-    n = np.array([len(s) for s in segments])
-    flat = np.concatenate(segments)
+def transfers(hmm: Hmm, parts: list[np.ndarray]) -> np.ndarray:
+    """[parts, S, S]: product over a part's tokens of (moves times emissions), up to a factor."""
+    order = np.argsort([-len(x) for x in parts], kind="stable")
+    n = np.array([len(parts[i]) for i in order])
+    flat = np.concatenate([parts[i] for i in order])
+    first = np.cumsum(n) - n
+    active = np.searchsorted(-n, -np.arange(1, n.max(initial=0) + 1), "right")
+    m = np.tile(np.eye(STATES, dtype=hmm.move.dtype), (len(parts), 1, 1))
+    for t, k in enumerate(active):
+        now = (m[:k].reshape(-1, STATES) @ hmm.move).reshape(k, STATES, STATES) * hmm.emit[flat[first[:k] + t]][:, None, :]
+        m[:k] = now / now.max(axis=(1, 2), keepdims=True)
+    out = np.empty_like(m)
+    out[order] = m
+    return out
+
+
+Piece = tuple[np.ndarray, np.ndarray | None, np.ndarray]  # tokens, forward vector in front (None: a start), backward vector behind
+
+
+def pieces(hmm: Hmm, seq: np.ndarray) -> list[Piece]:
+    """A sequence's segments of SEGMENT tokens with what the others say about their ends."""
+    cut = [seq[i : i + SEGMENT] for i in range(0, len(seq), SEGMENT)]
+    ahead, behind = [None], [np.ones(STATES, hmm.move.dtype)]
+    if len(cut) > 1:
+        inner = [cut[0][1:], *cut[1:]]
+        m = np.concatenate([transfers(hmm, inner[i : i + BATCH]) for i in range(0, len(inner), BATCH)])
+        now = hmm.start * hmm.emit[seq[0]]
+        for x in m[:-1]:
+            now = now @ x
+            now /= now.sum()
+            ahead.append(now)
+        for x in m[:0:-1]:
+            now = x @ behind[-1]
+            behind.append(now / now.sum())
+    return [*zip(cut, ahead, reversed(behind), strict=True)]
+
+
+def expected(hmm: Hmm, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
+    """Adds the sequences' expected counts (forward-backward) and returns their log likelihood."""
+    made = sorted((x for s in seqs for x in pieces(hmm, s)), key=lambda x: -len(x[0]))
+    return sum(_expected(hmm, made[i : i + BATCH], start, move, emit) for i in range(0, len(made), BATCH))
+
+
+def _expected(hmm: Hmm, made: list[Piece], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
+    n = np.array([len(s) for s, *_ in made])
+    flat = np.concatenate([s for s, *_ in made])
+    inner = np.array([a is not None for _, a, _ in made])
+    ahead = np.array([a for _, a, _ in made if a is not None]).reshape(-1, STATES)
+    behind = np.array([b for *_, b in made])
     first = np.cumsum(n) - n
     active = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right")
     alphas, scales, likes = [], [], []
     for t in range(n[0]):
         k = active[t]
         like = hmm.emit[flat[first[:k] + t]]
-        a = hmm.start * like if not t else (a[:k] @ hmm.move) * like  # noqa: F821
+        if t:
+            a = (a[:k] @ hmm.move) * like  # noqa: F821
+        else:
+            a = hmm.start * like
+            a[inner] = (ahead @ hmm.move) * like[inner]
         c = a.sum(axis=1, keepdims=True)
         a = a / c
         alphas.append(a)
@@ -186,37 +242,40 @@ def expected(hmm: Hmm, segments: list[np.ndarray], start: np.ndarray, move: np.n
         likes.append(like)
     gamma = np.empty((len(flat), STATES), hmm.emit.dtype)
     xi = np.zeros_like(move)
-    beta = np.ones_like(alphas[-1])
+    beta = np.zeros((0, STATES), hmm.move.dtype)
     for t in range(n[0] - 1, -1, -1):
-        k = active[t]
-        if t < n[0] - 1:
+        k, w = active[t], beta
+        if len(beta):
             w = likes[t + 1] * beta / scales[t + 1]
             xi += alphas[t][: len(w)].T @ w
-            beta = np.concatenate([w @ hmm.move.T, np.ones((k - len(w), STATES), w.dtype)])
+            w = w @ hmm.move.T
+        ends = behind[len(w) : k]
+        beta = np.concatenate([w, ends / (alphas[t][len(w) :] * ends).sum(axis=1, keepdims=True)])
         gamma[first[:k] + t] = alphas[t] * beta
-    start += gamma[first].sum(axis=0)
+    xi += ahead.T @ (likes[0] * beta / scales[0])[inner]
+    start += gamma[first[~inner]].sum(axis=0)
     move += xi * hmm.move
     for s in range(STATES):
         emit[:, s] += np.bincount(flat, gamma[:, s], CLASSES)
     return float(sum(np.log(c).sum() for c in scales))
 
 
-def round_of_training(sequences: DataFrame, hmm: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of one Baum-Welch round, aggregated over all partitions."""
+def round_of_training(sequences: DataFrame, hmm: Hmm) -> list[np.ndarray]:
+    """Expected counts (start, moves, emissions) and log likelihood of one Baum-Welch round, aggregated over all partitions."""
     held = sequences.sparkSession.sparkContext.broadcast(hmm)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        like, segments = 0.0, []
+        like, seqs, tokens = 0.0, [], 0
         for b in batches:
             for s in b.column(0).to_pylist():
-                seq = np.frombuffer(s, np.uint16)
-                segments += [seq[i : i + SEGMENT] for i in range(0, len(seq), SEGMENT)]
-                if len(segments) >= BATCH:
-                    like += expected(held.value, segments, start, move, emit)
-                    segments = []
-        if segments:
-            like += expected(held.value, segments, start, move, emit)
+                seqs.append(np.frombuffer(s, np.uint16))
+                tokens += len(seqs[-1])
+                if tokens >= BATCH * SEGMENT:
+                    like += expected(held.value, seqs, start, move, emit)
+                    seqs, tokens = [], 0
+        if seqs:
+            like += expected(held.value, seqs, start, move, emit)
         some = np.flatnonzero(emit.any(axis=1))
         # rows: classes, then CLASSES + s for moves from s, the start, and the likelihood
         rows = np.concatenate([emit[some], move, start[None], np.eye(1, STATES) * like])
@@ -228,7 +287,7 @@ def round_of_training(sequences: DataFrame, hmm: Hmm) -> tuple[np.ndarray, np.nd
     out = np.zeros((CLASSES + STATES + 2, STATES))
     out[summed["k"].to_numpy()] = np.stack([summed[f"s{s}"].to_numpy() for s in range(STATES)], axis=1)
     held.destroy()
-    return out[CLASSES + STATES], out[CLASSES : CLASSES + STATES], out[:CLASSES], float(out[-1, 0])
+    return [out[CLASSES + STATES], out[CLASSES : CLASSES + STATES], out[:CLASSES], out[-1, 0]]
 
 
 def estimated(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Hmm:
@@ -246,17 +305,16 @@ def first_guess(unigram: np.ndarray, seed: int = 1) -> Hmm:
     return Hmm(np.full(STATES, 1 / STATES, np.float32), move.astype(np.float32), (e / e.sum(axis=0)).astype(np.float32))
 
 
-def train(sequences: DataFrame, train_docs: int, unigram: np.ndarray) -> tuple[Hmm, list[float]]:
-    """sequences (row, seq) of the training documents; the log likelihoods by full round."""
-    hmm, likes = first_guess(unigram), []
-    share = min(1.0, WARM_DOCS / max(1, train_docs))
-    warm = stored(sequences.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20))).select("seq").repartition(8), "hmm-sample")
-    for _ in range(WARM_ROUNDS):
-        hmm = estimated(*round_of_training(warm, hmm)[:3], unigram)
-    forget(warm)
+def train(sequences: DataFrame, unigram: np.ndarray) -> tuple[Hmm, list[float]]:
+    """sequences (slice, seq) of the training documents; the log likelihoods by full round."""
+    hmm, likes, held = first_guess(unigram), [], None
+    for k in range(SLICES):
+        *counts, _ = round_of_training(sequences.where(F.col("slice") == k).select("seq"), hmm)
+        held = counts if held is None else [x / 2 + y for x, y in zip(held, counts, strict=True)]
+        hmm = estimated(*held, unigram)
     for _ in range(FULL_ROUNDS):
         *counts, like = round_of_training(sequences.select("seq"), hmm)
-        likes.append(like)
+        likes.append(float(like))
         hmm = estimated(*counts, unigram)
     return hmm, likes
 
@@ -270,7 +328,7 @@ def hmm_scores(docs: DataFrame, learn_from: Column) -> DataFrame:
         tokens = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long") + 1
         none = F.lit(0).cast("long")
         return texts.select("doc_id", "train", tokens.alias("n_tokens"), none.alias("n_known"), none.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    top = counts.where((F.col("n") >= HEAD_LEAST) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # HEAD rows at most
+    top = counts.where(((F.col("n") >= HEAD_LEAST) & (F.length("word") <= HEAD_BYTES)) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # HEAD rows at most
     v = Vocabulary([bytes(w) for w in top["word"].to_pylist()], top["n"].to_numpy(), total["n"], total["v"])
     if END not in v.head:  # over HEAD words more frequent than documents
         v.head[-1], v.counts = END, np.concatenate([v.counts[:-1], [total["docs"]]])
@@ -288,8 +346,8 @@ def hmm_scores(docs: DataFrame, learn_from: Column) -> DataFrame:
     unigram[HEAD:] += 0.5  # a tail class without a training word can be met
     unigram /= unigram.sum()
 
-    coded = stored(encoded(texts, v), "word-classes")
-    hmm, _ = train(coded.where("train").select("row", "seq"), total["docs"], unigram)
+    coded = stored(encoded(texts, v), "word-classes", by="slice")
+    hmm, _ = train(coded.where("slice >= 0").select("slice", "seq"), unigram)
 
     model = docs.sparkSession.sparkContext.broadcast(hmm)
 

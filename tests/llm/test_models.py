@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -38,15 +39,17 @@ def test_forward_equals_the_sum_over_all_paths():
         assert g == pytest.approx(np.log(total))
 
 
-def test_expected_counts_equal_brute_force(monkeypatch):
-    import itertools
+@pytest.mark.parametrize("segment, batch", [(256, 2048), (2, 2048), (3, 2), (1, 3)])
+def test_expected_counts_of_whole_sequences_equal_brute_force(monkeypatch, segment, batch):
+    monkeypatch.setattr(hl, "SEGMENT", segment)
+    monkeypatch.setattr(hl, "BATCH", batch)
 
     r = np.random.default_rng(3)
     monkeypatch.setattr(hl, "STATES", 2)
     monkeypatch.setattr(hl, "CLASSES", 4)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
     hmm = hl.Hmm(norm(r.random(2)), norm(r.random((2, 2))), r.random((4, 2)))
-    segments = [np.array(x, np.uint16) for x in ([0, 1, 3, 2], [3], [1, 1])]
+    segments = [np.array(x, np.uint16) for x in ([0, 1, 3, 2], [3], [1, 1], [2, 0, 0, 3, 1, 2, 1], [1, 2, 3])]
     start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
     like = hl.expected(hmm, segments, start, move, emit)
     s0, m0, e0, l0 = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0
@@ -91,6 +94,31 @@ def test_scores_base_and_held_out_gain(spark):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_long_sequences_in_single_precision_stay_finite():
+    r = np.random.default_rng(5)
+    unigram = 0.01 + r.random(hl.CLASSES) ** 8
+    hmm = hl.first_guess(unigram / unigram.sum())
+    seqs = [r.integers(0, hl.CLASSES, n).astype(np.uint16) for n in (70_000, 300, 5)]
+    start, move, emit = np.zeros(hl.STATES), np.zeros((hl.STATES, hl.STATES)), np.zeros((hl.CLASSES, hl.STATES))
+    like = hl.expected(hmm, seqs, start, move, emit)
+    assert like == pytest.approx(hl.forward(hmm, seqs).sum(), rel=1e-4)
+    assert (start.sum(), move.sum(), emit.sum()) == pytest.approx((3, 70_302, 70_305), rel=1e-4)
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    rows = corpus(200)
+    a = spark.createDataFrame(rows, DOC).repartition(3, "text")
+    b = spark.createDataFrame(rows[::-1], DOC).coalesce(1)
+    one, two = ({r["doc_id"]: r["score"] for r in hl.hmm_scores(x, remainder(F.col("doc_id"), 7) != 2).collect()} for x in (a, b))
+    assert one == pytest.approx(two, rel=1e-4)
+
+
+def test_a_long_word_and_a_long_text(spark):
+    rows = [(i, "x" * 300_000 + " a b") for i in range(4)] + [(9, "a b " * 50_000)]
+    got = {r["doc_id"]: r for r in hl.hmm_scores(spark.createDataFrame(rows, DOC), F.col("doc_id") < 9).collect()}
+    assert len(got) == 5 and all(np.isfinite(r["score"]) for r in got.values()) and got[9]["n_tokens"] == 100_001 == got[9]["n_known"]
+
+
 def test_hmm_without_training_documents(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], DOC)
     got = sorted(map(tuple, hl.hmm_scores(df, F.lit(False)).collect()))
