@@ -7,11 +7,13 @@ the next stage.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fastenlake.llm.common import remainder, small_batches, stored, table
+from fastenlake.llm.common import forget, remainder, small_batches, stored_alone, table
 from fastenlake.llm.decontaminate import decontaminate
 from fastenlake.llm.language_id import accepted
 from fastenlake.llm.line_dedup import line_dedup
@@ -64,7 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{name}")
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        before, docs = docs, stored_alone(partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
+        forget(before)
     return docs
