@@ -11,15 +11,17 @@ only positions that an order doesn't know go on to the next.  The language with
 the lowest cross-entropy per character wins.
 
 Training reads a bounded hash sample of the labelled rows, about SAMPLE_DOCS per
-language (whole texts); one in CALIBRATE of them isn't counted but calibrates
-rejection: a text is rejected if its cross-entropy exceeds the mean by more than
-SLACK times the largest excess of a calibration text, and by more than SLACK times
-the largest such excess in units of one over the square root of the length.
+language (whole texts, all their n-grams).  One labelled row in CALIBRATE is never
+learned from; about CHECK_DOCS of these per language calibrate rejection: a text is
+rejected if its cross-entropy exceeds their mean by more than SLACK times the excess of
+their QUANTILE, and by more than SLACK times the QUANTILE of such excesses in units of
+one over the square root of the length.  So a few odd calibration texts change nothing.
 
 Defined cases: null text or one without a letter is `und`, rejected, score 0;
 without any labelled row every text is; null lang rows aren't learned from; equal
 cross-entropies go to the alphabetically first language; repeated rows each get a
-row; extra columns are ignored.
+row; extra columns are ignored (``accepted`` keeps them); an empty table gives no
+rows; a very long text is scored in blocks, its code points held whole by one task.
 """
 
 from __future__ import annotations
@@ -36,11 +38,9 @@ from pyspark.sql import functions as F
 from .common import remainder
 
 ORDER = 4
-SAMPLE_DOCS = 500
+SAMPLE_DOCS, CHECK_DOCS = 400, 1_000
 CALIBRATE = 5
-SLACK = 3.0
-#: The most n-gram types of one model set; the rarest beyond are left to back-off.
-MAX_TYPES = 3_000_000
+QUANTILE, SLACK = 0.99, 3.0
 #: Characters scored at once.
 BLOCK = 1 << 17
 UNKNOWN = "und"
@@ -105,7 +105,7 @@ class Models:
     #: per order from 1: sorted context hashes, log2 back-off weights [n, langs]
     weight: list[tuple[np.ndarray, np.ndarray]]
     unknown: np.ndarray
-    #: per language: mean, largest, largest excess times root length of cross-entropies
+    #: per language: mean, quantile, quantile of the excess times root length of cross-entropies
     limits: np.ndarray
 
     def _row(self, table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,10 +195,6 @@ def train(counts: dict[str, Counter]) -> Models:
         for n in range(ORDER - 1, 0, -1):
             level[n] = Counter(g[1:] for g in level[n + 1])  # in how many contexts it continues
         base[x] = level
-    size = sum(len(c) for c in counts.values())
-    if size > MAX_TYPES:  # the rarest types of the highest order are left to back-off
-        for x in langs:
-            base[x][ORDER] = Counter(dict(base[x][ORDER].most_common(MAX_TYPES // len(langs))))
     unknown = np.zeros(len(langs))
     prob: dict[tuple[str, int], dict[str, float]] = {}
     back: dict[tuple[str, int], dict[str, float]] = {}
@@ -237,18 +233,23 @@ def train(counts: dict[str, Counter]) -> Models:
     return Models(langs, [table(d) for d in known], [table(d) for d in weight], np.log2(unknown).astype(np.float32), np.zeros((len(langs), 3)))
 
 
-def _sampled(docs: DataFrame, per_lang: int) -> DataFrame:
-    """About per_lang rows of each language, chosen by a hash; all if there are fewer."""
+def _sampled(docs: DataFrame, learn: int, check: int) -> DataFrame:
+    """text, lang, check: about `learn` rows of each language to learn from and `check` to calibrate on, chosen by a hash; all if there are fewer."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int(min(1, per_lang / n) * (1 << 20)))) for x, n in count.items()]) if count else F.lit(0)
-    return rows.where(draw < share)
+    checks = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
 
+    def share(most: int, part: float) -> Column:
+        each = [F.when(F.col("lang") == x, F.lit(int(min(1, most / (n * part)) * (1 << 20)))) for x, n in count.items()]
+        return F.coalesce(*each) if each else F.lit(0)
 
-def fit(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> Models:
-    """docs: doc_id, text, lang.  Everything collected is bounded by per_lang and MAX_TYPES."""
-    sample = _sampled(docs.select("doc_id", "text", "lang"), per_lang).withColumn("check", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0)
+    return rows.withColumn("check", checks).where(draw < F.when(F.col("check"), share(check, 1 / CALIBRATE)).otherwise(share(learn, 1 - 1 / CALIBRATE))).select("text", "lang", "check")
+
+
+def fit(docs: DataFrame, learn: int = SAMPLE_DOCS, check: int = CHECK_DOCS) -> Models:
+    """docs: doc_id, text, lang.  What is collected are the n-grams of the sample and a few numbers of each calibration text."""
+    sample = _sampled(docs.select("doc_id", "text", "lang"), learn, check)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, Counter] = {}
@@ -279,7 +280,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> Models:
             models.limits[k] = (0, np.inf, np.inf)
             continue
         mean = np.average(own[:, 0], weights=own[:, 1])
-        models.limits[k] = (mean, own[:, 0].max(), ((own[:, 0] - mean) * np.sqrt(own[:, 1])).max())
+        models.limits[k] = (mean, np.quantile(own[:, 0], QUANTILE), np.quantile((own[:, 0] - mean) * np.sqrt(own[:, 1]), QUANTILE))
     return models
 
 

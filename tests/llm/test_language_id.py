@@ -83,6 +83,23 @@ def test_identify_language_held_out(spark):
     assert kept.columns == df.columns and kept.where("doc_id < 1000").count() == 301
 
 
+def test_one_odd_calibration_text_does_not_void_rejection(spark):
+    rng = random.Random(6)
+    rows = [(i, text(rng, "aa", 40), "aa") for i in range(1500)] + [(9000, "a7f3 " * 60, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    (odd,) = df.where(F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(li.CALIBRATE)) == 0).orderBy("doc_id").limit(1).collect()
+    odd_df = df.withColumn("text", F.when(F.col("doc_id") == odd["doc_id"], F.lit("q#xz w" * 9)).otherwise(F.col("text")))
+    got = {r["doc_id"]: r["rejected"] for r in li.predicted(odd_df, li.fit(odd_df)).collect()}
+    assert got[9000] and sum(got[i] for i in range(1500)) <= 1
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(7)
+    rows = [(i, text(rng, x, 60), x) for i, x in enumerate(["aa", "bb"] * 40)] + [(100, text(rng, "bb", 300_000), "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in li.identify_language(df).collect()}[100] == "bb"
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[:4] for r in li.identify_language(df).collect()] == [(1, "und", 0.0, True)]
