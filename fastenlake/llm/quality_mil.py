@@ -5,14 +5,17 @@ shares of its byte-class pairs, word lengths and immediate word repetitions, put
 through one learned layer.  Gated attention (tanh times sigmoid, learned from the
 document labels alone) weighs the passages; the weighted sum is scored.
 
-Fitting uses a bounded hash sample of the labelled rows: about FIT_DOCS documents
-of at most FIT_PASSAGES passages.  Scoring reads every passage of every document,
+Fitting uses a bounded hash sample of the labelled rows: about FIT_DOCS documents, in
+the order of a hash of their doc_id until they have FIT_BYTES of text, whole and of any length
+(a passage has at least 2 * PASSAGE bytes, so features take at most 4.3 times FIT_BYTES on the
+driver, and twice that as floats).  Scoring reads every passage of every document,
 in slabs of SLAB bytes with a running softmax, so memory doesn't grow with a text.
 
 Defined cases: a text without a word, or null, is one passage without content and
 gets a score too; null labels aren't learned from; several labels of a document
 count by their mean; without labels of both kinds every score is the share of label
-1 (0.5 without labels); repeated rows each get a row; extra columns are ignored.
+1 (0.5 without labels); repeated rows each get a row; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import forget, remainder, stored
 
 PASSAGE = 64
 SLAB = 1 << 18
-FIT_DOCS, FIT_PASSAGES = 6000, 1000
+FIT_DOCS, FIT_BYTES = 6000, 1 << 26
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 30, 128, 0.01, 1e-4
 THRESHOLD = 0.7
 
@@ -125,17 +128,39 @@ class Model:
         return float(_sigmoid(z / total @ self.p["c"] + self.p["d"])[()])
 
 
+def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log loss of documents with `size` consecutive passages in x, and its gradients."""
+    begin = np.cumsum(size) - size
+    doc = np.repeat(np.arange(len(size)), size)
+    h = np.tanh(x @ p["W"] + p["b"])
+    t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
+    e = (t * s) @ p["w"]
+    a = np.exp(e - np.maximum.reduceat(e, begin)[doc])
+    a /= np.add.reduceat(a, begin)[doc]
+    z = np.add.reduceat(a[:, None] * h, begin, axis=0)
+    out = _sigmoid(z @ p["c"] + p["d"])
+    loss = -np.mean(np.where(y > 0, np.log(out + 1e-12), np.log(1 - out + 1e-12)))
+    g = (out - y) / len(size)
+    gz = g[:, None] * p["c"]
+    ga = (gz[doc] * h).sum(axis=1)
+    ge = a * (ga - np.add.reduceat(a * ga, begin)[doc])
+    gt, gs = ge[:, None] * p["w"] * s * (1 - t * t), ge[:, None] * p["w"] * t * s * (1 - s)
+    gh = (a[:, None] * gz[doc] + gt @ p["V"].T + gs @ p["U"].T) * (1 - h * h)
+    return float(loss), {"W": x.T @ gh, "b": gh.sum(axis=0), "V": h.T @ gt, "U": h.T @ gs, "w": (t * s).T @ ge, "c": z.T @ g, "d": g.sum()}
+
+
 def fit_bags(bags: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     """Adam on the mean log loss of documents."""
     share = float(np.mean(labels)) if len(labels) else 0.5
     zero = Model(np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), {}, share)
     if not len(labels) or labels.min() == labels.max():
         return zero
-    x = np.concatenate(bags)
+    x = np.concatenate(bags, dtype=np.float32)
     size = np.array([len(b) for b in bags])
     first = np.cumsum(size) - size
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-2
-    x = np.clip((x - mean) / scale, -6, 6).astype(np.float32)
+    for i in range(0, len(x), 1 << 14):  # in place
+        x[i : i + (1 << 14)] = np.clip((x[i : i + (1 << 14)] - mean) / scale, -6, 6)
     rng = np.random.default_rng(seed)
     shape = {"W": (WIDTH, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": ()}
     p = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if s and k not in "b" else np.zeros(s) for k, s in shape.items()}
@@ -147,24 +172,8 @@ def fit_bags(bags: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
             n = size[own]
-            begin = np.cumsum(n) - n
-            rows = np.repeat(first[own] - begin, n) + np.arange(n.sum())
-            doc = np.repeat(np.arange(len(own)), n)
-            xs, y = x[rows], labels[own]
-            h = np.tanh(xs @ p["W"] + p["b"])
-            t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-            e = (t * s) @ p["w"]
-            a = np.exp(e - np.maximum.reduceat(e, begin)[doc])
-            a /= np.add.reduceat(a, begin)[doc]
-            z = np.add.reduceat(a[:, None] * h, begin, axis=0)
-            out = _sigmoid(z @ p["c"] + p["d"])
-            g = (out - y) / len(own)
-            gz = g[:, None] * p["c"]
-            ga = (gz[doc] * h).sum(axis=1)
-            ge = a * (ga - np.add.reduceat(a * ga, begin)[doc])
-            gt, gs = ge[:, None] * p["w"] * s * (1 - t * t), ge[:, None] * p["w"] * t * s * (1 - s)
-            gh = (a[:, None] * gz[doc] + gt @ p["V"].T + gs @ p["U"].T) * (1 - h * h)
-            grad = {"W": xs.T @ gh, "b": gh.sum(axis=0), "V": h.T @ gt, "U": h.T @ gs, "w": (t * s).T @ ge, "c": z.T @ g, "d": g.sum()}
+            rows = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            _, grad = loss_and_gradients(p, x[rows], n, labels[own])
             step += 1
             rate = RATE * (1 - epoch / EPOCHS)
             for k in p:
@@ -175,6 +184,16 @@ def fit_bags(bags: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model
     return Model(mean.astype(np.float32), scale.astype(np.float32), {k: q.astype(np.float32) for k, q in p.items()})
 
 
+def _within(rows: list[tuple[int, int]], most: int) -> int | None:
+    """rows: (draw, bytes) by draw; the first draw whose text doesn't fit any more (the first row always does)."""
+    total = 0
+    for k, (draw, n) in enumerate(rows):
+        total += n
+        if total > most and k:
+            return draw
+    return None
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) -> Model:
     """Fit on about FIT_DOCS labelled documents; labels (doc_id, quality)."""
     own = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
@@ -182,20 +201,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) ->
     own = own.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     total = own.count()
     share = min(1.0, FIT_DOCS / total) if total else 0.0
-    drawn = own.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    draw = F.xxhash64("doc_id", F.lit("quality"))
+    drawn = own.where(F.pmod(draw, F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("draw", draw)
+    # about FIT_DOCS rows of 20 bytes, whatever the input
+    met = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(drawn), "doc_id")
+    met = stored(met.select("doc_id", "text", "quality", "draw"), "labelled-sample")
+    sizes = sorted((r["draw"], r["n"]) for r in met.select("draw", F.length("text").alias("n")).collect())  # about FIT_DOCS pairs of numbers
+    end = _within(sizes, FIT_BYTES)
+    taken = met if end is None else met.where(F.col("draw") < end)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [bag(t) for t in b.column(1).to_pylist()]
-            keep = [i for i, x in enumerate(made) if len(x) <= FIT_PASSAGES]
-            cols = [pa.array([v for i, v in enumerate(b.column(c).to_pylist()) if i in keep], t) for c, t in ((0, pa.int64()), (2, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([made[i].astype(np.float16).tobytes() for i in keep], pa.binary())], ["doc_id", "quality", "bag"])
+            for i, t in enumerate(b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), pa.array([bag(t).astype(np.float16).tobytes()], pa.binary())], ["doc_id", "quality", "bag"])
 
-    # about FIT_DOCS rows of 12 bytes, whatever the input
-    met = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = met.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, bag binary").toArrow()
+    rows = taken.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, bag binary").toArrow()
+    forget(met)
     found = sorted(zip(rows["doc_id"].to_pylist(), rows["quality"].to_pylist(), rows["bag"].to_pylist(), strict=True))
-    bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH).astype(np.float32) for *_, x in found]
+    bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for *_, x in found]
     return fit_bags(bags, np.array([q for _, q, _ in found], np.float64))
 
 

@@ -177,3 +177,61 @@ def test_fitting_lowers_the_loss(monkeypatch):
         p.append(float(qm._sigmoid((a / a.sum()) @ h @ model.p["c"] + model.p["d"])))
     loss = -np.mean(np.log(np.where(y > 0, p, 1 - np.array(p)) + 1e-12))
     assert loss < 0.1
+
+
+def test_gradients_equal_differences():
+    r = np.random.default_rng(8)
+    size, y = np.array([3, 1, 4]), np.array([1.0, 0.0, 1.0])
+    x = r.normal(size=(8, 5))
+    p = {k: r.normal(size=s) for k, s in {"W": (5, 4), "b": (4,), "V": (4, 3), "U": (4, 3), "w": (3,), "c": (4,), "d": ()}.items()}
+    _, grad = qm.loss_and_gradients(p, x, size, y)
+    for k in p:
+        for at in np.ndindex(p[k].shape):
+            moved = []
+            for step in (1e-5, -1e-5):
+                q = {n: v.copy() for n, v in p.items()}
+                q[k][at] += step
+                moved.append(qm.loss_and_gradients(q, x, size, y)[0])
+            assert (moved[0] - moved[1]) / 2e-5 == pytest.approx(float(grad[k][at]), abs=1e-6)
+
+
+def plain_features(words):
+    """Features of one passage, from the definition: shares of byte classes and pairs, repetitions, word length."""
+    text = b" ".join(words)
+    kind = [next((k for k, c in enumerate(qm.CLASSES) if chr(b) in c), len(qm.CLASSES)) if b < 128 else len(qm.CLASSES) + 1 for b in text]
+    single, pair = [0] * qm.N, [0] * qm.N**2
+    for k in kind:
+        single[k] += 1
+    for a, b in itertools.pairwise(kind):
+        pair[a * qm.N + b] += 1
+    low = [bytes(c | 32 for c in w) for w in words]
+    again = [sum(x == y for x, y in zip(low, low[k:], strict=False)) / len(words) for k in (1, 2)]
+    size = max(1, len(text))
+    return [*((x / size) ** 0.5 for x in single), *((x / size) ** 0.5 for x in pair), *again, min(sum(map(len, words)) / len(words), 40) / 10, len(words) / qm.PASSAGE]
+
+
+def test_quality_query_equals_a_plain_forward_pass(spark):
+    r = random.Random(9)
+    rows = [(i, good(r)[:300].strip() if i % 2 else "!! $$ 12 && " * 5 + "x") for i in range(60)]
+    rows = [(i, " ".join(t.split()[: qm.PASSAGE])) for i, t in rows]
+    df = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = qm.fit(df, labels, qm.learnable(F.col("doc_id")))
+    p = {k: np.asarray(v, float).tolist() for k, v in model.p.items()}
+    got = {x["doc_id"]: x["score"] for x in qm.quality_scores(df, model).collect()}
+    for i, t in rows:
+        x = [min(6, max(-6, (a - m) / s)) for a, m, s in zip(plain_features(t.encode().split()), model.mean.tolist(), model.scale.tolist(), strict=True)]
+        h = [np.tanh(sum(a * w[j] for a, w in zip(x, p["W"], strict=True)) + p["b"][j]) for j in range(qm.HIDDEN)]
+        # one passage: its attention weight is one
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-sum(a * c for a, c in zip(h, p["c"], strict=True)) - p["d"])), abs=2e-3)
+
+
+def test_fit_takes_whole_texts_of_any_length_until_the_bytes_are_used(spark, monkeypatch):
+    assert qm._within([(1, 9), (2, 5), (3, 5)], 12) == 2 and qm._within([(1, 99)], 12) is None and qm._within([(1, 5), (2, 5)], 10) is None
+    r = random.Random(10)
+    rows = [(i, good(r) if i % 2 else bad(r)) for i in range(80)] + [(80, bad(r) * 400), (81, good(r) * 100)]
+    df, labels = spark.createDataFrame(rows, DOC), spark.createDataFrame([(i, i % 2) for i in range(82)], "doc_id long, quality int")
+    for most in (1 << 26, 40_000):
+        monkeypatch.setattr(qm, "FIT_BYTES", most)
+        got = {x["doc_id"]: x["score"] for x in qm.quality_scores(df, qm.fit(df, labels)).collect()}
+        assert got[80] < 0.5 < got[81]
