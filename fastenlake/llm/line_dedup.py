@@ -10,12 +10,16 @@ A line is boilerplate if it stands on at least MIN_SITES distinct sites.
    between get exact distinct counts.
 3. The first occurrence (smallest doc_id, then position) stays, so that the text
    of widely copied documents survives once; later ones are removed.
-4. Only (document key, positions) are gathered; texts meet their own removal
-   list once.
+4. Only (document key, positions) are gathered.  If all these lists together are small
+   they are broadcast and no text is moved; else texts meet their own list by a
+   shuffle join.
 
 Defined cases: null text counts as empty and comes back empty; a null site is a
 site of its own; blank lines are never boilerplate and stay; a repeated row is
-the same document; all other columns are kept as they are, whatever their names.
+the same document; of a doc_id's several texts with one line at one position each
+counts as first; null doc_ids are behind all others; all other columns are kept as
+they are, whatever their names; an empty table stays empty; a very long text's lines
+are held whole by one task.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ SKETCH_BITS = 10
 MARGIN = 5
 #: The most boilerplate keys that are broadcast (24 bytes each); beyond, a shuffle join.
 BROADCAST_KEYS = 200_000
+#: The most documents and line positions of removal lists that are broadcast (about 40 and 4 bytes); beyond, a shuffle join.
+BROADCAST_PLACES = 500_000
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -77,14 +83,20 @@ def removals(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES)
 
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
     """docs with boilerplate lines removed from text; counts adds n_lines, n_removed."""
-    gone = removals(docs, site, min_sites).select(F.col("doc_id").alias("__ld_id"), F.col("t1").alias("__ld_t1"), F.col("t2").alias("__ld_t2"), F.col("gone").alias("__ld_gone"))
+    gone = stored(removals(docs, site, min_sites).select(F.col("doc_id").alias("id"), "t1", "t2", "gone"), "removals")
+    size = gone.agg(F.coalesce(F.count(F.lit(1)) + F.sum(F.size("gone")), F.lit(0)).alias("n")).first()["n"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.withColumns({"__ld_k1": F.xxhash64(text), "__ld_k2": F.length(text)})
-    met = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__ld_id")) & (F.col("__ld_k1") == F.col("__ld_t1")) & (F.col("__ld_k2") == F.col("__ld_t2")), "left")
-    met = met.withColumn("__ld_lines", F.split(text, "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_gone"))
-    kept = F.transform(stay, lambda p: F.col("__ld_lines")[p])
-    clean = F.when(F.col("__ld_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    more = {"n_lines": F.size("__ld_lines").cast("long"), "n_removed": F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long")} if counts else {}
-    out = met.withColumns(more | {"text": clean})
-    return out.select(*[F.col(c) for c in dict.fromkeys([*docs.columns, *more])])
+    # the row as one struct: no name of its columns can clash
+    own = docs.select(F.struct(*[_named(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64(text).alias("k1"), F.length(text).alias("k2"), text.alias("body"))
+    same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))
+    met = own.join(F.broadcast(gone) if size <= BROADCAST_PLACES else gone, same, "left").withColumn("lines", F.split("body", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.transform(stay, lambda p: F.col("lines")[p])
+    clean = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(kept, "\n"))
+    more = [F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    kept_names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    return met.select(*[clean.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in kept_names], *more)
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")

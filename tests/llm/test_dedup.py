@@ -51,10 +51,12 @@ def test_chunks_give_back_the_text_and_are_bounded(spark):
     assert "".join(got) == text and max(map(len, got)) <= ed.MAX_CHUNK + ed.ANCHOR_RUN and len(got) > 20
 
 
-def test_line_dedup_keeps_first_and_counts_sites_exactly(spark):
+@pytest.mark.parametrize("most", [ld.BROADCAST_PLACES, -1])
+def test_line_dedup_keeps_first_and_counts_sites_exactly(spark, monkeypatch, most):
+    monkeypatch.setattr(ld, "BROADCAST_PLACES", most)
     rows = [(i, f"own {i}\n common line \n\nnine" if i < 9 else f"own {i}\ncommon line", f"s{i}", i) for i in range(12)]
     rows += [(50, "twice\ntwice", "s1", 0), (51, None, None, None), (52, "common line\ncommon line", None, 1)]
-    df = spark.createDataFrame(rows, DOCS).withColumns({"h1": F.lit("x"), "pos": F.lit("y")})
+    df = spark.createDataFrame(rows, DOCS).withColumns({"h1": F.lit("x"), "pos": F.lit("y"), "gone": F.lit(1), "row": F.lit(2), "a.b": F.lit(3), "n_lines": F.lit("z")})
     got = {r["doc_id"]: r["text"] for r in ld.line_dedup(df).collect()}
     want = {i: f"own {i}\n\nnine" if i < 9 else f"own {i}" for i in range(12)} | {50: "twice\ntwice", 51: "", 52: ""}
     want[0] = rows[0][1]
@@ -63,6 +65,13 @@ def test_line_dedup_keeps_first_and_counts_sites_exactly(spark):
     assert ld.line_dedup(df.limit(0)).collect() == []
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    text = "\n".join(f"line {i}" for i in range(50_000))
+    rows = [(0, text + "\nall over", "s0", 0)] + [(i, f"own {i}\nall over", f"s{i}", 0) for i in range(1, 12)]
+    got = {r["doc_id"]: r["text"] for r in ld.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {0: rows[0][1]} | {i: f"own {i}" for i in range(1, 12)}
+
+
 def test_line_dedup_repeated_rows_and_null_ids(spark):
     rows = [(1, "a\nb", f"s{i}", 0) for i in range(11)] + [(None, "a\nc", "s0", 0), (2, "b", "s0", 0)]
     got = sorted((str(r["doc_id"]), r["text"]) for r in ld.line_dedup(spark.createDataFrame(rows, DOCS)).collect())
