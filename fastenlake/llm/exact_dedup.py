@@ -6,20 +6,22 @@ characters of the anchor class in a row, found MIN_CHUNK or more characters into
 the chunk, and at MAX_CHUNK at the latest.  Equal texts cut equally, so a text is
 its *recipe*, the ordered list of its chunk identifiers.
 
-1. ``recipes``: one pass turns each text into (code points, sha-256, recipe).
-   Long texts stay where they are; from here on only recipes move.
-2. ``collisions``: chunk texts meet once, grouped by (identifier, content) with
-   map-side combining.  An identifier with one content is verified: equal
-   identifiers then mean equal bytes.
-3. Documents with an unverified identifier (two contents under one hash) carry
-   those chunks' contents in their key, so they too are compared exactly.
+1. ``recipes``: one pass turns each text into (code points, sha-256, recipe), with a
+   SHA-256 digest beside each 64-bit identifier, and is stored.  Texts are read once and
+   stay where they are; from here on only recipes move.
+2. ``collisions``: identifiers meet once, grouped by (identifier, digest) with map-side
+   combining.  An identifier with one digest is verified: equal identifiers then mean
+   equal chunks, by the same 256 bits that the result gives for whole texts.
+3. Documents with an unverified identifier (two digests under one hash) carry those
+   chunks' digests in their key, so they too are told apart.
 4. Documents group by recipe; the group rows are stored and join back on the
    recipe.  One hot group is partly combined before the exchange, and adaptive skew
    handling splits the documents' side of the join.
 
 Defined cases: null text counts as empty; all empty texts are one group; a null
 doc_id sorts behind every other one; repeated rows of one doc_id are each
-returned and counted; extra columns are ignored; an empty table gives no rows.
+returned and counted; extra columns are ignored; an empty table gives no rows; a
+very long text's recipe (40 bytes for 512 to 4,096 characters) is held whole.
 """
 
 from __future__ import annotations
@@ -52,39 +54,42 @@ def chunks(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(CUT), F.lit(0))
 
 
-def _prepared(docs: DataFrame, identify: Callable[[Column], Column]) -> DataFrame:
+def recipes(docs: DataFrame, identify: Callable[[Column], Column] = chunk_id) -> DataFrame:
+    """doc_id, n_cp, text_sha256, recipe (ordered chunk identifiers), digests (of the same chunks)."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.select("doc_id", F.length("text").alias("n_cp"), normalised(F.col("text")).alias("norm"))
-    return base.select("doc_id", "n_cp", "norm", chunks(F.col("norm")).alias("chunks"))
+    base = base.select("doc_id", "n_cp", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("chunks"))
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    return base.select("doc_id", "n_cp", "text_sha256", F.transform("chunks", identify).alias("recipe"), F.transform("chunks", digest).alias("digests"))
 
 
-def recipes(docs: DataFrame, identify: Callable[[Column], Column] = chunk_id) -> DataFrame:
-    """doc_id, n_cp, text_sha256, recipe (ordered chunk identifiers)."""
-    return _prepared(docs, identify).select("doc_id", "n_cp", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", identify).alias("recipe"))
+def _chunk_rows(named: DataFrame, *keys: str) -> DataFrame:
+    return named.select(*keys, F.posexplode(F.arrays_zip("recipe", "digests")).alias("pos", "x")).select(*keys, "pos", F.col("x.recipe").alias("id"), F.col("x.digests").alias("digest"))
 
 
-def collisions(docs: DataFrame, identify: Callable[[Column], Column] = chunk_id) -> DataFrame:
-    """Identifiers under which more than one chunk content exists."""
-    each = _prepared(docs, identify).select(F.explode("chunks").alias("chunk"))
-    distinct = each.groupBy(identify(F.col("chunk")).alias("id"), "chunk").agg(F.count(F.lit(1)).alias("n"))
+def collisions(named: DataFrame) -> DataFrame:
+    """Identifiers under which more than one chunk digest exists."""
+    distinct = _chunk_rows(named).groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"))
     return distinct.groupBy("id").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("id")
 
 
-def _refined(docs: DataFrame, bad: DataFrame, identify: Callable[[Column], Column]) -> DataFrame:
-    base = _prepared(docs, identify).withColumn("rid", F.monotonically_increasing_id())
-    each = base.select("rid", F.posexplode("chunks").alias("pos", "chunk")).withColumn("id", identify(F.col("chunk")))
-    exact = each.join(bad, "id", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("found"))
-    return base.join(exact, "rid", "left").select("doc_id", "n_cp", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", identify).alias("recipe"), F.coalesce(F.col("found.chunk"), F.array().cast("array<string>")).alias("exact"))
+def _refined(named: DataFrame, bad: DataFrame) -> DataFrame:
+    """Adds exact: the digests of unverified chunks, in order.  text_sha256 stands for a row here: equal texts have equal chunks."""
+    met = _chunk_rows(named, "text_sha256").join(bad, "id", "left_semi").distinct()
+    exact = met.groupBy("text_sha256").agg(F.sort_array(F.collect_list(F.struct("pos", "digest")))["digest"].alias("exact"))
+    return named.join(exact, "text_sha256", "left").withColumn("exact", F.coalesce("exact", _none()))
+
+
+def _none() -> Column:
+    return F.array().cast("array<binary>")
 
 
 def exact_dedup(docs: DataFrame, identify: Callable[[Column], Column] = chunk_id) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    bad = stored(collisions(docs, identify), "chunk-collisions")
-    if bad.isEmpty():  # every identifier is verified
-        named = recipes(docs, identify).withColumn("exact", F.array().cast("array<string>"))
-    else:
-        named = _refined(docs, bad, identify)
-    named = stored(named, "recipes")
+    read = stored(recipes(docs, identify), "recipes")
+    bad = stored(collisions(read), "chunk-collisions")
+    named = read.withColumn("exact", _none()) if bad.isEmpty() else stored(_refined(read, bad), "refined-recipes")
+    named = named.drop("digests")
     order = F.struct("n_cp", (-F.col("doc_id")).alias("first"))
     groups = named.groupBy("recipe", "exact").agg(F.count(F.lit(1)).alias("group_size"), (-F.max(order)["first"]).alias("keep_id"))
     groups = stored(groups, "copy-groups")  # on its own, so that the join below can split a hot group's rows
