@@ -4,10 +4,8 @@ Tokens: ASCII-lower-cased words between ASCII white space, then one end token.
 
 1. ``word_counts``: all training texts once; words are counted map-side, then merged.
 2. The HEAD most frequent words with HEAD_LEAST or more occurrences are classes of
-   their own (broadcast, bounded).  The others share TAIL classes by a hash of their last three bytes.  A tail word's
-   share of its class is its absolutely discounted count; what the discount frees is
-   the class's unknown word.  So class sequences are known without a look-up, and
-   P(word | state) = P(class | state) * P(word | class) sums to one.
+   their own (broadcast, bounded).  The others share TAIL classes by a hash of their last
+   three bytes while the states are trained.
 3. ``encoded``: every document once to its class numbers (two bytes each) and its
    tail words, stored.
 4. Baum-Welch: each partition runs scaled forward-backward over its whole training
@@ -18,9 +16,14 @@ Tokens: ASCII-lower-cased words between ASCII white space, then one end token.
    FULL_ROUNDS rounds over every training document follow.  A sequence longer than SEGMENT is
    worked on in segments side by side: products of transfer matrices give each the
    exact forward vector in front of it and the exact backward vector behind it.
-5. Scores: the scaled forward recursion gives the exact likelihood of each whole
-   class sequence.  Tail words meet their counts by a shuffle join on the word; the
-   head never does, so no word of the join is hot.
+5. The last round also gives every tail word's expected count in each state, aggregated by
+   word.  P(word | state) = P(class | state) * P(word | class, state); the
+   latter is the word's count in that state, absolutely discounted, smoothed by its share of
+   the class worth KAPPA tokens; what the discount frees is the class's unknown word.  It
+   sums to one, and the table grows with the vocabulary.
+6. Scores: the scaled forward recursion gives the exact likelihood of each whole text,
+   every token by its word's own emissions.  Tail words meet theirs by a shuffle join on
+   the word; the head never does, so no word of the join is hot.
 
 Defined cases: null text counts as empty and is one end token; without a training
 document the model is the base model; a null doc_id is treated like the text ``''``
@@ -36,6 +39,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +54,15 @@ HEAD_LEAST = 3
 END = b" "  # no word has a space
 STATES = 8
 HEAD_BYTES = 256
-SEGMENT = 256
-SLICES, FULL_ROUNDS = 12, 4
+SEGMENT = 2048
+SLICES, FULL_ROUNDS = 12, 2
 #: Words a partition counts before it hands them on.
 FLUSH = 250_000
-#: Segments worked on side by side.
-BATCH = 2_048
-PRIOR = 50.0
+#: Tokens worked on at once, about 100 bytes each.
+BATCH = 1 << 19
+#: Segments whose transfer matrices are made side by side.
+SIDE = 2_048
+PRIOR, KAPPA = 50.0, 5.0
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -117,7 +123,7 @@ class Ids(dict):
         return found
 
 
-ENCODED = "row long, doc_id long, train boolean, slice int, n_tokens long, n_head long, base_head double, seq binary, tail array<binary>, tail_n array<int>"
+ENCODED = "row long, doc_id long, train boolean, slice int, n_tokens long, n_head long, base_head double, seq binary, tail array<binary>, tail_n array<int>, tail_at array<int>"
 
 
 def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -134,9 +140,10 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 words.append(END)
                 seq = np.fromiter(map(ids.__getitem__, words), np.uint16, len(words))
                 at = np.flatnonzero(seq >= HEAD)
-                tail = Counter([words[i] for i in at.tolist()])
-                rows.append((len(words), len(words) - len(at), float(base[seq].sum()), seq.tobytes(), [*tail], [*tail.values()]))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+                tail: dict[bytes, int] = {}
+                tail_at = [tail.setdefault(words[i], len(tail)) for i in at.tolist()]
+                rows.append((len(words), len(words) - len(at), float(base[seq].sum()), seq.tobytes(), [*tail], np.bincount(tail_at, minlength=len(tail)).tolist() if tail else [], tail_at))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *cols], [c.split()[0] for c in ENCODED.split(", ")])
 
@@ -151,8 +158,9 @@ class Hmm:
     emit: np.ndarray  # [classes, S]
 
 
-def forward(hmm: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
-    """Natural log likelihood of each whole sequence by the scaled forward recursion."""
+def forward(hmm: Hmm, seqs: list[np.ndarray], inside: list[np.ndarray] | None = None) -> np.ndarray:
+    """Natural log likelihood of each whole sequence by the scaled forward recursion; inside:
+    P(word | class, state) of the tokens of tail classes, in order."""
     out = np.zeros(len(seqs))
     size = np.array([len(s) for s in seqs])
     order = np.argsort(-size, kind="stable")
@@ -163,11 +171,14 @@ def forward(hmm: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     first = np.cumsum(n) - n
     active = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right")  # how many have a t-th token
     total = np.zeros(len(order))
-    a = hmm.start * hmm.emit[flat[first]]
+    if inside is not None:
+        own = np.concatenate([np.ones((1, STATES), hmm.emit.dtype), *[inside[i] for i in order]])
+        which = np.cumsum(flat >= HEAD) * (flat >= HEAD)  # 0: a head word
     for t in range(n[0]):
         k = active[t]
-        if t:
-            a = (a[:k] @ hmm.move) * hmm.emit[flat[first[:k] + t]]
+        at = first[:k] + t
+        like = hmm.emit[flat[at]] if inside is None else hmm.emit[flat[at]] * own[which[at]]
+        a = (a[:k] @ hmm.move) * like if t else hmm.start * like  # noqa: F821
         c = a.sum(axis=1)
         a /= c[:, None]
         total[:k] += np.log(c)
@@ -191,103 +202,178 @@ def transfers(hmm: Hmm, parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-Piece = tuple[np.ndarray, np.ndarray | None, np.ndarray]  # tokens, forward vector in front (None: a start), backward vector behind
-
-
-def pieces(hmm: Hmm, seq: np.ndarray) -> list[Piece]:
-    """A sequence's segments of SEGMENT tokens with what the others say about their ends."""
-    cut = [seq[i : i + SEGMENT] for i in range(0, len(seq), SEGMENT)]
-    ahead, behind = [None], [np.ones(STATES, hmm.move.dtype)]
-    if len(cut) > 1:
-        inner = [cut[0][1:], *cut[1:]]
-        m = np.concatenate([transfers(hmm, inner[i : i + BATCH]) for i in range(0, len(inner), BATCH)])
-        now = hmm.start * hmm.emit[seq[0]]
-        for x in m[:-1]:
-            now = now @ x
-            now /= now.sum()
-            ahead.append(now)
-        for x in m[:0:-1]:
-            now = x @ behind[-1]
-            behind.append(now / now.sum())
-    return [*zip(cut, ahead, reversed(behind), strict=True)]
-
-
-def expected(hmm: Hmm, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    """Adds the sequences' expected counts (forward-backward) and returns their log likelihood."""
-    made = sorted((x for s in seqs for x in pieces(hmm, s)), key=lambda x: -len(x[0]))
-    return sum(_expected(hmm, made[i : i + BATCH], start, move, emit) for i in range(0, len(made), BATCH))
-
-
-def _expected(hmm: Hmm, made: list[Piece], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    n = np.array([len(s) for s, *_ in made])
-    flat = np.concatenate([s for s, *_ in made])
-    inner = np.array([a is not None for _, a, _ in made])
-    ahead = np.array([a for _, a, _ in made if a is not None]).reshape(-1, STATES)
-    behind = np.array([b for *_, b in made])
-    first = np.cumsum(n) - n
+class Piece(NamedTuple):
+    tokens: np.ndarray
+    ahead: np.ndarray | None  # forward vector in front; None: a start
+    behind: np.ndarray  # backward vector
+    at: int  # of its first token in all sequences, one after the other
+
+
+def pieces(hmm: Hmm, seqs: list[np.ndarray]) -> list[Piece]:
+    """The sequences' segments of SEGMENT tokens with what the others of a sequence say about
+    their ends, longest first; the transfer matrices of all of them are made side by side."""
+    whole = np.ones(STATES, hmm.move.dtype)
+    cuts = [[s[i : i + SEGMENT] for i in range(0, len(s), SEGMENT)] for s in seqs]
+    inner = [x for cut in cuts if len(cut) > 1 for x in (cut[0][1:], *cut[1:])]
+    m = np.concatenate([transfers(hmm, inner[i : i + SIDE]) for i in range(0, len(inner), SIDE)]) if inner else []
+    out, at, first = [], 0, 0
+    for cut in cuts:
+        ahead, behind = [None], [whole]
+        if len(cut) > 1:
+            own = m[at : at + len(cut)]
+            at += len(cut)
+            now = hmm.start * hmm.emit[cut[0][0]]
+            for x in own[:-1]:
+                now = now @ x
+                now /= now.sum()
+                ahead.append(now)
+            for x in own[:0:-1]:
+                now = x @ behind[-1]
+                behind.append(now / now.sum())
+        for x in zip(cut, ahead, reversed(behind), strict=True):
+            out.append(Piece(*x, first))
+            first += len(x[0])
+    return sorted(out, key=lambda x: -len(x.tokens))
+
+
+def expected(hmm: Hmm, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, word: np.ndarray | None = None, words: int = 0) -> tuple[float, np.ndarray]:
+    """Adds the sequences' expected counts (forward-backward); returns their log likelihood and
+    counts [words, S] by the number that `word` gives a token (below 0: none)."""
+    like, own = 0.0, np.zeros((words, STATES))
+    for gamma, flat, at, first, xi, part in _posteriors(hmm, seqs):
+        start += gamma[:, first].sum(axis=1)
+        move += xi * hmm.move
+        for s in range(STATES):
+            emit[:, s] += np.bincount(flat, gamma[s], CLASSES)
+        if words:
+            which = word[at]
+            some = which >= 0
+            for s in range(STATES):
+                own[:, s] += np.bincount(which[some], gamma[s, some], words)
+        like += part
+    return like, own
+
+
+def _posteriors(hmm: Hmm, seqs: list[np.ndarray]) -> Iterator[tuple]:
+    """About BATCH tokens of segments at a time: state posteriors [S, tokens], the tokens, their
+    places in all sequences, which of the first begin sequences, expected moves (but for their
+    probability), log likelihood."""
+    made, begin, size = pieces(hmm, seqs), 0, 0
+    for i, x in enumerate(made):
+        size += len(x.tokens)
+        if size >= BATCH or i + 1 == len(made):
+            yield _solved(hmm, made[begin : i + 1])
+            begin, size = i + 1, 0
+
+
+def _solved(hmm: Hmm, made: list[Piece]) -> tuple:
+    """Scaled forward-backward over segments, longest first, side by side.  Tokens lie by time:
+    the first of all segments, the second of all that have one, and so on."""
+    n = np.array([len(x.tokens) for x in made])
     active = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right")
-    alphas, scales, likes = [], [], []
-    for t in range(n[0]):
-        k = active[t]
-        like = hmm.emit[flat[first[:k] + t]]
-        if t:
-            a = (a[:k] @ hmm.move) * like  # noqa: F821
-        else:
-            a = hmm.start * like
-            a[inner] = (ahead @ hmm.move) * like[inner]
-        c = a.sum(axis=1, keepdims=True)
-        a = a / c
-        alphas.append(a)
-        scales.append(c)
-        likes.append(like)
-    gamma = np.empty((len(flat), STATES), hmm.emit.dtype)
-    xi = np.zeros_like(move)
-    beta = np.zeros((0, STATES), hmm.move.dtype)
+    begin = np.concatenate(([0], np.cumsum(active)))
+    lane = np.concatenate([np.arange(k) for k in active])
+    at = (np.cumsum(n) - n)[lane] + np.repeat(np.arange(n[0]), active)
+    flat = np.concatenate([x.tokens for x in made])[at]
+    inner = np.array([x.ahead is not None for x in made])
+    ahead = np.array([x.ahead for x in made if x.ahead is not None], hmm.move.dtype).reshape(-1, STATES).T
+    behind = np.array([x.behind for x in made], hmm.move.dtype).T
+    like = np.ascontiguousarray(hmm.emit[flat].T)
+    a, c, to = np.empty_like(like), np.empty(len(flat), like.dtype), np.ascontiguousarray(hmm.move.T)
+    now = np.repeat(hmm.start[:, None], active[0], axis=1).astype(like.dtype)
+    now[:, inner] = to @ ahead
+    for t, k in enumerate(active):
+        o = begin[t]
+        own = slice(o, o + k)
+        now = (to @ now[:, :k] if t else now) * like[:, own]
+        scale = now.sum(axis=0)
+        now /= scale
+        a[:, own], c[own] = now, scale
+    xi = np.zeros((STATES, STATES))
+    like /= c
+    beta = np.zeros((STATES, 0), like.dtype)
     for t in range(n[0] - 1, -1, -1):
-        k, w = active[t], beta
-        if len(beta):
-            w = likes[t + 1] * beta / scales[t + 1]
-            xi += alphas[t][: len(w)].T @ w
-            w = w @ hmm.move.T
-        ends = behind[len(w) : k]
-        beta = np.concatenate([w, ends / (alphas[t][len(w) :] * ends).sum(axis=1, keepdims=True)])
-        gamma[first[:k] + t] = alphas[t] * beta
-    xi += ahead.T @ (likes[0] * beta / scales[0])[inner]
-    start += gamma[first[~inner]].sum(axis=0)
-    move += xi * hmm.move
-    for s in range(STATES):
-        emit[:, s] += np.bincount(flat, gamma[:, s], CLASSES)
-    return float(sum(np.log(c).sum() for c in scales))
-
-
-def round_of_training(sequences: DataFrame, hmm: Hmm) -> list[np.ndarray]:
-    """Expected counts (start, moves, emissions) and log likelihood of one Baum-Welch round, aggregated over all partitions."""
+        own = slice(begin[t], begin[t] + active[t])
+        alpha, w = a[:, own], beta
+        if beta.shape[1]:
+            w = like[:, begin[t + 1] : begin[t + 1] + active[t + 1]] * beta
+            xi += alpha[:, : w.shape[1]] @ w.T
+            w = hmm.move @ w
+        if w.shape[1] < active[t]:
+            ends = behind[:, w.shape[1] : active[t]]
+            w = np.concatenate([w, ends / (alpha[:, w.shape[1] :] * ends).sum(axis=0)], axis=1)
+        beta = w
+        alpha *= beta  # the posterior
+    xi += ahead @ (like[:, : active[0]] * beta)[:, inner].T
+    places = np.array([x.at for x in made])[lane] + np.repeat(np.arange(n[0]), active)
+    return a, flat, places, np.flatnonzero(~inner), xi, float(np.log(c).sum(dtype=np.float64))
+
+
+TAIL_COUNTS = "k int, word binary, " + ", ".join(f"s{s} double" for s in range(STATES))
+
+
+def _round(sequences: DataFrame, hmm: Hmm, by_word: bool) -> DataFrame:
+    """sequences (seq; by_word: and tail, tail_at) to partial expected counts of one Baum-Welch
+    round.  Rows k: classes, then CLASSES + s for moves from s, the start, and the log
+    likelihood; by_word: also rows of tail words, with k null."""
     held = sequences.sparkSession.sparkContext.broadcast(hmm)
 
+    def batch(keys: pa.Array, words: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, words, *[pa.array(rows[:, s]) for s in range(STATES)]], [c.split()[0] for c in TAIL_COUNTS.split(", ")])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        like, seqs, tokens = 0.0, [], 0
-        for b in batches:
-            for s in b.column(0).to_pylist():
-                seqs.append(np.frombuffer(s, np.uint16))
-                tokens += len(seqs[-1])
-                if tokens >= BATCH * SEGMENT:
-                    like += expected(held.value, seqs, start, move, emit)
-                    seqs, tokens = [], 0
-        if seqs:
-            like += expected(held.value, seqs, start, move, emit)
+        like = 0.0
+        for seqs, tails, ats in _some(batches, by_word):
+            words = pa.concat_arrays(tails) if by_word else None
+            of = None
+            if by_word:  # number of each tail token's word, -1 for the head's
+                begin = np.cumsum([0] + [len(t) for t in tails])
+                of = np.full(sum(map(len, seqs)), -1, np.int64)
+                of[np.flatnonzero(np.concatenate(seqs) >= HEAD)] = np.concatenate([x + k for x, k in zip(ats, begin[:-1], strict=True)])
+            part, own = expected(held.value, seqs, start, move, emit, of, len(words) if by_word else 0)
+            like += part
+            if by_word:
+                yield batch(pa.nulls(len(words), pa.int32()), words.cast(pa.binary()), own)
         some = np.flatnonzero(emit.any(axis=1))
-        # rows: classes, then CLASSES + s for moves from s, the start, and the likelihood
         rows = np.concatenate([emit[some], move, start[None], np.eye(1, STATES) * like])
-        keys = np.concatenate([some, CLASSES + np.arange(STATES + 2)])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array(rows[:, s]) for s in range(STATES)]], ["k", *[f"s{s}" for s in range(STATES)]])
-
-    parts = sequences.mapInArrow(run, "k int, " + ", ".join(f"s{s} double" for s in range(STATES)))
-    summed = parts.groupBy("k").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES)]).toArrow()  # CLASSES + STATES + 2 rows at most
+        yield batch(pa.array(np.concatenate([some, CLASSES + np.arange(STATES + 2)]), pa.int32()), pa.nulls(len(rows), pa.binary()), rows)
+
+    return sequences.select("seq", *(["tail", "tail_at"] if by_word else [])).mapInArrow(run, TAIL_COUNTS)
+
+
+def _some(batches: Iterable[pa.RecordBatch], by_word: bool) -> Iterator[tuple]:
+    """Sequences, tail words and tail positions of about BATCH tokens at a time."""
+    seqs, tails, ats, tokens = [], [], [], 0
+    for b in batches:
+        for i, s in enumerate(b.column(0).to_pylist()):
+            seqs.append(np.frombuffer(s, np.uint16))
+            if by_word:
+                tails.append(b.column(1)[i].values)
+                ats.append(b.column(2)[i].values.to_numpy(zero_copy_only=False))
+            tokens += len(seqs[-1])
+            if tokens >= BATCH:
+                yield seqs, tails, ats
+                seqs, tails, ats, tokens = [], [], [], 0
+    if seqs:
+        yield seqs, tails, ats
+
+
+def round_of_training(sequences: DataFrame, hmm: Hmm, words: str | None = None) -> tuple[list[np.ndarray], DataFrame | None]:
+    """Expected counts (start, moves, emissions) and log likelihood of one Baum-Welch round,
+    aggregated over all partitions; words: also store every tail word's expected count by state
+    (word, s0, s1, ...) under this label."""
+    parts = _round(sequences, hmm, words is not None)
+    sums = [F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES)]
+    by_word = None
+    if words is not None:
+        parts = stored(parts.groupBy("k", "word").agg(*sums), words)
+        by_word = parts.where("k IS NULL").drop("k")
+        parts = parts.where("k IS NOT NULL")
+    summed = parts.groupBy("k").agg(*sums).toArrow()  # CLASSES + STATES + 2 rows at most
     out = np.zeros((CLASSES + STATES + 2, STATES))
     out[summed["k"].to_numpy()] = np.stack([summed[f"s{s}"].to_numpy() for s in range(STATES)], axis=1)
-    held.destroy()
-    return [out[CLASSES + STATES], out[CLASSES : CLASSES + STATES], out[:CLASSES], out[-1, 0]]
+    return [out[CLASSES + STATES], out[CLASSES : CLASSES + STATES], out[:CLASSES], out[-1, 0]], by_word
 
 
 def estimated(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Hmm:
@@ -305,71 +391,117 @@ def first_guess(unigram: np.ndarray, seed: int = 1) -> Hmm:
     return Hmm(np.full(STATES, 1 / STATES, np.float32), move.astype(np.float32), (e / e.sum(axis=0)).astype(np.float32))
 
 
-def train(sequences: DataFrame, unigram: np.ndarray) -> tuple[Hmm, list[float]]:
-    """sequences (slice, seq) of the training documents; the log likelihoods by full round."""
+def train(coded: DataFrame, unigram: np.ndarray) -> tuple[Hmm, DataFrame, list[float]]:
+    """coded (slice, seq, tail, tail_at): the training documents, encoded.  The model, the tail
+    words' counts by state in the last round, the log likelihoods by full round."""
     hmm, likes, held = first_guess(unigram), [], None
     for k in range(SLICES):
-        *counts, _ = round_of_training(sequences.where(F.col("slice") == k).select("seq"), hmm)
+        (*counts, _), _ = round_of_training(coded.where(F.col("slice") == k), hmm)
         held = counts if held is None else [x / 2 + y for x, y in zip(held, counts, strict=True)]
         hmm = estimated(*held, unigram)
-    for _ in range(FULL_ROUNDS):
-        *counts, like = round_of_training(sequences.select("seq"), hmm)
+    for k in range(FULL_ROUNDS):
+        (*counts, like), by_word = round_of_training(coded, hmm, "words-by-state" if k + 1 == FULL_ROUNDS else None)
         likes.append(float(like))
         hmm = estimated(*counts, unigram)
-    return hmm, likes
+    return hmm, by_word, likes
 
 
-def hmm_scores(docs: DataFrame, learn_from: Column) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    texts = _texts(docs, learn_from)
-    counts = stored(word_counts(texts.where("train")), "word-counts")
+@dataclass
+class LanguageModel:
+    """What the training documents say; None of it is there without one."""
+
+    vocabulary: Vocabulary | None
+    hmm: Hmm | None = None
+    unknown: np.ndarray | None = None  # [TAIL, S]: P(a word never trained on | class, state)
+    tail: DataFrame | None = None  # word, n, m0, m1, ...: P(word | class, state)
+
+
+def _vocabulary(counts: DataFrame) -> Vocabulary | None:
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("docs")).first()
     if not total["docs"]:
-        tokens = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long") + 1
-        none = F.lit(0).cast("long")
-        return texts.select("doc_id", "train", tokens.alias("n_tokens"), none.alias("n_known"), none.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
+        return None
     top = counts.where(((F.col("n") >= HEAD_LEAST) & (F.length("word") <= HEAD_BYTES)) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # HEAD rows at most
     v = Vocabulary([bytes(w) for w in top["word"].to_pylist()], top["n"].to_numpy(), total["n"], total["v"])
     if END not in v.head:  # over HEAD words more frequent than documents
         v.head[-1], v.counts = END, np.concatenate([v.counts[:-1], [total["docs"]]])
+    return v
 
-    # tail: each word's discounted share of its class, and the class's unknown share
-    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in v.head], "word binary")), "word", "left_anti")
+
+def fit(texts: DataFrame, counts: DataFrame, v: Vocabulary, coded: DataFrame) -> LanguageModel:
+    """counts: word_counts of the training texts; coded: encoded texts."""
+    spark = texts.sparkSession
+    rest = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in v.head], "word binary")), "word", "left_anti")
     n1, n2 = (F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))
     by_class = rest.groupBy("class").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"), (n1 / F.greatest(n1 + 2 * n2, F.lit(1))).alias("d"))
     stats = by_class.withColumn("d", F.least(F.greatest(F.col("d"), F.lit(0.1)), F.lit(0.95))).toArrow()  # TAIL rows at most
-    classes = {c: (n, t, d) for c, n, t, d in zip(*(stats[x].to_pylist() for x in ("class", "total", "types", "d")), strict=True)}
+    classes = np.zeros((TAIL, 3))  # total, types, discount
+    classes[stats["class"].to_numpy()] = np.stack([stats[x].to_numpy() for x in ("total", "types", "d")], axis=1)
     unigram = np.zeros(CLASSES)
     unigram[: len(v.head)] = v.counts
-    for c, (n, *_) in classes.items():
-        unigram[HEAD + c] = n
-    unigram[HEAD:] += 0.5  # a tail class without a training word can be met
+    unigram[HEAD:] = classes[:, 0] + 0.5  # a tail class without a training word can be met
     unigram /= unigram.sum()
-
-    coded = stored(encoded(texts, v), "word-classes", by="slice")
-    hmm, _ = train(coded.where("slice >= 0").select("slice", "seq"), unigram)
-
-    model = docs.sparkSession.sparkContext.broadcast(hmm)
+    hmm, by_word, _ = train(coded.where("slice >= 0"), unigram)
+
+    states = range(STATES)
+    found = stored(rest.join(by_word, "word"), "tail-counts")
+    known = spark.createDataFrame([(c, *map(float, x)) for c, x in enumerate(classes)], "class int, total double, types double, d double")
+    left = F.col("d") / F.col("n")  # the share of a word's count that the discount takes
+    by_state = found.join(F.broadcast(known.select("class", "d")), "class").groupBy("class").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in states], *[F.sum(F.col(f"s{s}") * left).alias(f"u{s}") for s in states]).toArrow()  # TAIL rows at most
+    sums = np.zeros((2, TAIL, STATES))
+    for k, name in enumerate("su"):
+        sums[k][by_state["class"].to_numpy()] = np.stack([by_state[f"{name}{s}"].to_numpy() for s in states], axis=1)
+    total, types, d = classes.T[:, :, None]
+    unknown = np.where(total > 0, (sums[1] + KAPPA * d * types / np.maximum(total, 1)) / (sums[0] + KAPPA), 1.0)  # a class without a training word is all unknown
+    sized = spark.createDataFrame([(c, *map(float, x[:1]), float(x[2]), *map(float, e)) for c, (x, e) in enumerate(zip(classes, sums[0], strict=True))], "class int, total double, d double, " + ", ".join(f"e{s} double" for s in states))
+    inside = [((F.col(f"s{s}") * (1 - left) + KAPPA * (F.col("n") - F.col("d")) / F.col("total")) / (F.col(f"e{s}") + KAPPA)).cast("float").alias(f"m{s}") for s in states]
+    return LanguageModel(v, hmm, unknown.astype(np.float32), found.join(F.broadcast(sized), "class").select("word", "n", *inside))
+
+
+SCORE = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scored(coded: DataFrame, model: LanguageModel) -> DataFrame:
+    """SCORE of every row of encoded texts."""
+    vectors = [f"m{s}" for s in range(STATES)]
+    each = coded.select("row", F.posexplode("tail").alias("i", "word"))
+    met = each.join(model.tail, "word").groupBy("row").agg(F.collect_list(F.struct("i", "n", *vectors)).alias("known"))
+    whole = coded.select("row", "doc_id", "train", "n_tokens", "n_head", "base_head", "seq", "tail_n", "tail_at").join(met, "row", "left")
+    held = coded.sparkSession.sparkContext.broadcast((model.vocabulary, model.hmm, model.unknown))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, hmm, unknown = held.value
+        nothing = v.base(np.zeros(1))[0]
         for b in batches:
-            seqs = [np.frombuffer(s, np.uint16) for s in b.column(6).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(forward(model.value, seqs) / np.log(10))], [*(b.schema.names[:6]), "chain"])
-
-    chained = coded.select("row", "doc_id", "train", "n_tokens", "n_head", "base_head", "seq").mapInArrow(run, "row long, doc_id long, train boolean, n_tokens long, n_head long, base_head double, chain double")
-
-    known = docs.sparkSession.createDataFrame([(c, float(n), float(t), float(d)) for c, (n, t, d) in classes.items()], "class int, total double, types double, d double")
-    worth = rest.join(F.broadcast(known), "class").select("word", "n", F.log10((F.col("n") - F.col("d")) / F.col("total")).alias("inside"))
-    # an unknown word's class isn't at hand natively: its last bytes are looked up among the TAIL classes
-    each = coded.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("k"))
-    tail_of = F.pmod(F.crc32(F.expr("substring(word, greatest(1, length(word) - 2), 3)")), F.lit(TAIL)).cast("int")
-    unseen = known.select("class", F.log10(F.col("d") * F.col("types") / F.col("total")).alias("outside"))
-    met = each.join(worth, "word", "left").withColumn("class", tail_of).join(F.broadcast(unseen), "class", "left")
-    inside = F.coalesce("inside", "outside", F.lit(0.0))  # a class without a training word is all unknown
-    base = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(v.tokens + v.types + 1)))
-    tail = met.groupBy("row").agg(F.sum(F.col("k") * inside).alias("tail_score"), F.sum(F.col("k") * base).alias("tail_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return chained.join(tail, "row", "left").select(
-        "doc_id", "train", "n_tokens", (F.col("n_head") + zero("tail_known")).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_head") + zero("tail_base")).alias("base_score"), (F.col("chain") + zero("tail_score")).alias("score"),
-    )
+            seqs, inside, known, base = [np.frombuffer(s, np.uint16) for s in b.column("seq").to_pylist()], [], [], []
+            for seq, n, at, hits in zip(seqs, b.column("tail_n"), b.column("tail_at"), b.column("known"), strict=True):
+                n, at = (x.values.to_numpy(zero_copy_only=False) for x in (n, at))
+                tokens = np.flatnonzero(seq >= HEAD)
+                of_word = np.zeros(len(n), np.int64)  # a class number for each distinct word
+                of_word[at] = seq[tokens].astype(np.int64) - HEAD
+                own, log = unknown[of_word], np.full(len(n), nothing)
+                seen = np.zeros(len(n), bool)
+                if hits.is_valid:
+                    f = hits.values
+                    i = f.field("i").to_numpy()
+                    own[i] = np.stack([f.field(x).to_numpy() for x in vectors], axis=1)
+                    log[i], seen[i] = v.base(f.field("n").to_numpy()), True
+                inside.append(own[at])
+                base.append(float((log * n).sum()))
+                known.append(int(n[seen].sum()))
+            rows = [b.column("doc_id"), b.column("train"), b.column("n_tokens"), pa.array(b.column("n_head").to_numpy() + np.array(known, np.int64)), pa.array(np.full(b.num_rows, v.tokens, np.int64)), pa.array(b.column("base_head").to_numpy() + np.array(base, np.float64)), pa.array(forward(hmm, seqs, inside) / np.log(10))]
+            yield pa.RecordBatch.from_arrays(rows, [c.split()[0] for c in SCORE.split(", ")])
+
+    return whole.mapInArrow(run, SCORE)
+
+
+def hmm_scores(docs: DataFrame, learn_from: Column) -> DataFrame:
+    """SCORE of every row of docs, by a model of the rows where learn_from holds."""
+    texts = _texts(docs, learn_from)
+    counts = stored(word_counts(texts.where("train")), "word-counts")
+    v = _vocabulary(counts)
+    if v is None:
+        tokens = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long") + 1
+        none = F.lit(0).cast("long")
+        return texts.select("doc_id", "train", tokens.alias("n_tokens"), none.alias("n_known"), none.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
+    coded = stored(encoded(texts, v), "word-classes", by="slice")
+    return scored(coded, fit(texts, counts, v, coded))

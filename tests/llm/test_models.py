@@ -39,10 +39,11 @@ def test_forward_equals_the_sum_over_all_paths():
         assert g == pytest.approx(np.log(total))
 
 
-@pytest.mark.parametrize("segment, batch", [(256, 2048), (2, 2048), (3, 2), (1, 3)])
+@pytest.mark.parametrize("segment, batch", [(256, 2048), (2, 2048), (3, 5), (1, 3)])
 def test_expected_counts_of_whole_sequences_equal_brute_force(monkeypatch, segment, batch):
     monkeypatch.setattr(hl, "SEGMENT", segment)
     monkeypatch.setattr(hl, "BATCH", batch)
+    monkeypatch.setattr(hl, "SIDE", 2)
 
     r = np.random.default_rng(3)
     monkeypatch.setattr(hl, "STATES", 2)
@@ -51,7 +52,9 @@ def test_expected_counts_of_whole_sequences_equal_brute_force(monkeypatch, segme
     hmm = hl.Hmm(norm(r.random(2)), norm(r.random((2, 2))), r.random((4, 2)))
     segments = [np.array(x, np.uint16) for x in ([0, 1, 3, 2], [3], [1, 1], [2, 0, 0, 3, 1, 2, 1], [1, 2, 3])]
     start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
-    like = hl.expected(hmm, segments, start, move, emit)
+    word = np.array([[-1, 0, 1][x % 3] for x in np.concatenate(segments).tolist()])
+    like, own = hl.expected(hmm, segments, start, move, emit, word, 2)
+    assert own == pytest.approx(np.stack([emit[[x for x in range(4) if x % 3 == k]].sum(axis=0) for k in (1, 2)]))
     s0, m0, e0, l0 = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0
     for seg in segments:
         paths = {}
@@ -94,13 +97,48 @@ def test_scores_base_and_held_out_gain(spark):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_every_state_gives_all_words_of_a_class_one(spark, monkeypatch):
+    monkeypatch.setattr(hl, "HEAD_LEAST", 90)
+    texts = hl._texts(spark.createDataFrame(corpus(120), DOC), F.lit(True))
+    counts = hl.stored(hl.word_counts(texts), "c")
+    v = hl._vocabulary(counts)
+    coded = hl.stored(hl.encoded(texts, v), "e", by="slice")
+    model = hl.fit(texts, counts, v, coded)
+    total = model.unknown.astype(float)
+    rows = model.tail.collect()
+    assert len(rows) > 100 and max(r["n"] for r in rows) > 50
+    met = set()
+    for r in rows:
+        c = hl.tail_class(bytes(r["word"]))
+        met.add(c)
+        total[c] += [r[f"m{s}"] for s in range(hl.STATES)]
+    assert total[sorted(met)] == pytest.approx(1, abs=1e-5) and (model.unknown[[c for c in range(hl.TAIL) if c not in met]] == 1).all()
+    # emissions: head classes and tail classes together
+    assert model.hmm.emit.sum(axis=0) == pytest.approx(1, abs=1e-4)
+    # the whole score, token by token in plain Python
+    inside = {bytes(r["word"]): [r[f"m{s}"] for s in range(hl.STATES)] for r in rows}
+    head = {w: i for i, w in enumerate(v.head)}
+    new = spark.createDataFrame([(1, "a1 a2 rare3 neverseen b1 rare3 " * 3), (2, ""), (3, corpus(7)[5][1])], DOC)
+    own = hl.encoded(hl._texts(new, F.lit(False)), v)
+    got = {r["doc_id"]: r for r in hl.scored(hl.stored(own, "n", by="slice"), model).collect()}
+    for i, text in ((r["doc_id"], r["text"]) for r in new.collect()):
+        a, total = None, 0.0
+        for w in [*text.encode().lower().split(), hl.END]:
+            c = hl.tail_class(w)
+            like = [float(model.hmm.emit[head[w] if w in head else hl.HEAD + c][s]) * (1 if w in head else inside[w][s] if w in inside else float(model.unknown[c][s])) for s in range(hl.STATES)]
+            a = [(model.hmm.start[s] if a is None else sum(a[r] * float(model.hmm.move[r][s]) for r in range(hl.STATES))) * like[s] for s in range(hl.STATES)]
+            total += np.log10(sum(a))
+            a = [x / sum(a) for x in a]
+        assert got[i]["score"] == pytest.approx(total, rel=1e-4)
+
+
 def test_long_sequences_in_single_precision_stay_finite():
     r = np.random.default_rng(5)
     unigram = 0.01 + r.random(hl.CLASSES) ** 8
     hmm = hl.first_guess(unigram / unigram.sum())
     seqs = [r.integers(0, hl.CLASSES, n).astype(np.uint16) for n in (70_000, 300, 5)]
     start, move, emit = np.zeros(hl.STATES), np.zeros((hl.STATES, hl.STATES)), np.zeros((hl.CLASSES, hl.STATES))
-    like = hl.expected(hmm, seqs, start, move, emit)
+    like, _ = hl.expected(hmm, seqs, start, move, emit)
     assert like == pytest.approx(hl.forward(hmm, seqs).sum(), rel=1e-4)
     assert (start.sum(), move.sum(), emit.sum()) == pytest.approx((3, 70_302, 70_305), rel=1e-4)
 
