@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MIN_SITES = 10
+MIN_SITES = 3
 SKETCH_BITS = 10
 MARGIN = 5
 #: The most boilerplate keys that are broadcast (24 bytes each); beyond, a shuffle join.

@@ -93,7 +93,7 @@ WITH lines AS (
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
   FROM documents),
 keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM lines),
-spread AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 10),
+spread AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 3),
 marked AS (
   SELECT keyed.*, spread.k IS NOT NULL AND row_number() OVER (PARTITION BY keyed.k ORDER BY doc_id, pos) > 1 AS gone
   FROM keyed LEFT JOIN spread ON keyed.k = spread.k)

@@ -57,10 +57,11 @@ def test_line_dedup_keeps_first_and_counts_sites_exactly(spark, monkeypatch, mos
     rows = [(i, f"own {i}\n common line \n\nnine" if i < 9 else f"own {i}\ncommon line", f"s{i}", i) for i in range(12)]
     rows += [(50, "twice\ntwice", "s1", 0), (51, None, None, None), (52, "common line\ncommon line", None, 1)]
     df = spark.createDataFrame(rows, DOCS).withColumns({"h1": F.lit("x"), "pos": F.lit("y"), "gone": F.lit(1), "row": F.lit(2), "a.b": F.lit(3), "n_lines": F.lit("z")})
-    got = {r["doc_id"]: r["text"] for r in ld.line_dedup(df).collect()}
+    got = {r["doc_id"]: r["text"] for r in ld.line_dedup(df, min_sites=10).collect()}
     want = {i: f"own {i}\n\nnine" if i < 9 else f"own {i}" for i in range(12)} | {50: "twice\ntwice", 51: "", 52: ""}
     want[0] = rows[0][1]
     assert got == want  # "nine" stands on nine sites only
+    assert {r["doc_id"]: r["text"] for r in ld.line_dedup(df).collect()} == {i: t.removesuffix("\nnine") if i else t for i, t in want.items()}
     assert ld.line_dedup(df).columns == df.columns
     assert ld.line_dedup(df.limit(0)).collect() == []
 
