@@ -6,7 +6,8 @@ differing bits runs over *distinct* fingerprints only:
 1. A pair within 3 bits agrees on one of four 16-bit blocks, so each fingerprint
    goes to four buckets (block number, block value).  A bucket with more than
    HOT_BUCKET entries is dealt out again by four 12-bit blocks of its other 48
-   bits, which loses no pair either.
+   bits, and what is still too large by four 9-bit blocks of the 36 left, which loses
+   no pair either.
 2. Inside a bucket fingerprints are sorted by Gray rank.  Runs of FAN neighbours
    form a node, runs of FAN nodes the next level.  A node keeps the masked bit
    pattern that all below it share and its parent doesn't.  A query walks down
@@ -26,6 +27,7 @@ texts of that doc_id), null doc_ids only in a group without any other.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from .graph import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 FAN = 8
+#: Bits of a block, each of four, that a bucket is dealt by
+BLOCKS = (16, 12, 9)
 HOT_BUCKET = 1 << 16
 #: The most keys of dropped rows that are broadcast (about 32 bytes each); beyond, a shuffle join.
 BROADCAST_KEYS = 1_000_000
@@ -170,12 +174,11 @@ def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bucket_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (key, sub, fp) to links; works on whole buckets, some at a time."""
+    """Sorted rows (key, fp) to links; works on whole buckets, some at a time."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def solved(key: np.ndarray, sub: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))) if len(key) else np.zeros(0, bool)
-        group = np.cumsum(new)
+    def solved(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
         size = np.bincount(group)[group] if len(group) else group
         many = size > 1  # a fingerprint alone in its bucket links to nothing here
         group, fp = group[many], fp[many]
@@ -187,38 +190,48 @@ def _bucket_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-        key, sub, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        last = np.flatnonzero((key != key[-1]) | (sub != sub[-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        held = [(key[cut:], sub[cut:], fp[cut:])]
-        if cut:
-            yield solved(key[:cut], sub[:cut], fp[:cut])
+        held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
+        if held[0][0][0] == held[-1][0][-1]:
+            continue  # one bucket so far
+        key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+        held = [(key[cut:], fp[cut:])]
+        yield solved(key[:cut], fp[:cut])
     if held:
         yield solved(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _buckets(rows: DataFrame, bits: int) -> DataFrame:
+    """rows (fp, key, rest: 4 * bits of fp) to four each: key with a block's number and value, rest without it."""
+    each = []
+    for j in range(4):
+        block = F.shiftrightunsigned("rest", bits * j).bitwiseAND((1 << bits) - 1)
+        low = F.col("rest").bitwiseAND((1 << bits * j) - 1)
+        upper = F.shiftleft(F.shiftrightunsigned("rest", bits * (j + 1)), bits * j) if j < 3 else F.lit(0).cast("long")
+        each.append(F.struct((F.col("key") * (4 << bits) + (j << bits) + block).alias("key"), upper.bitwiseOR(low).alias("rest")))
+    return rows.select("fp", F.explode(F.array(*each)).alias("b")).select("fp", "b.key", "b.rest")
+
+
 def fingerprint_links(values: DataFrame) -> DataFrame:
     """values (fp: distinct longs) to links (u, v) that connect what lies within MAX_BITS."""
-    blocks = F.array(*[F.struct((F.lit(j * 65536) + F.shiftrightunsigned("fp", 16 * j).bitwiseAND(0xFFFF)).cast("int").alias("key"), F.lit(j).alias("j")) for j in range(4)])
-    each = values.select("fp", F.explode(blocks).alias("b")).select("fp", "b.key", "b.j")
-    #: at most 4 x 65536 rows of one int, whatever the input
-    hot = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("key", F.lit(True).alias("hot"))
-    each = each.join(F.broadcast(hot), "key", "left")
-    rest = F.when(F.col("j") == 3, F.col("fp").bitwiseAND((1 << 48) - 1))
-    for j in range(3):
-        upper = F.shiftleft(F.shiftrightunsigned("fp", 16 * (j + 1)), 16 * j)
-        rest = rest.when(F.col("j") == j, upper.bitwiseOR(F.col("fp").bitwiseAND((1 << 16 * j) - 1)))
-    rest = rest.otherwise(F.lit(0))
-    again = F.array(*[(F.lit(i * 4096) + F.shiftrightunsigned(rest, 12 * i).bitwiseAND(0xFFF)).cast("int") for i in range(4)])
-    each = each.select("key", "fp", F.explode(F.when(F.col("hot"), again).otherwise(F.array(F.lit(-1)))).alias("sub"))
+    rows, done = values.select("fp", F.lit(1).cast("long").alias("key"), F.col("fp").alias("rest")), []
+    for bits in BLOCKS:
+        each = _buckets(rows, bits)
+        if bits != BLOCKS[-1]:
+            hot = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("key"), "hot-buckets")
+        if bits == BLOCKS[-1] or hot.isEmpty():
+            done.append(each)
+            break
+        done.append(each.join(hot, "key", "left_anti"))
+        rows = each.join(hot, "key", "left_semi")
+    each = reduce(DataFrame.unionByName, done)
     rank = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):
         each = each.withColumn("rank", rank.bitwiseXOR(F.shiftrightunsigned(rank, s)))
         rank = F.col("rank")
     top = F.lit(-(1 << 63)).cast("long")
-    dealt = each.withColumn("rank", F.col("rank").bitwiseXOR(top)).repartition("key", "sub").sortWithinPartitions("key", "sub", "rank")
-    return dealt.select("key", "sub", "fp").mapInArrow(_bucket_links, "u long, v long")
+    dealt = each.withColumn("rank", F.col("rank").bitwiseXOR(top)).repartition("key").sortWithinPartitions("key", "rank")
+    return dealt.select("key", "fp").mapInArrow(_bucket_links, "u long, v long")
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
