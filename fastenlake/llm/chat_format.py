@@ -17,7 +17,8 @@ memory.  Nothing is collected per conversation.
 Defined cases: null text and null role count as empty; equal turn numbers are
 ordered by role, then text, and repeated rows are turns of their own; a null
 conv_id is a conversation of its own; null turns come first; extra columns are
-ignored; an empty table gives no rows.
+ignored; an empty table gives no rows; a single turn isn't cut: the longest one is held
+whole by a task, with its tokens.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +102,7 @@ def encoded(conv_id: int | None, turns: list[tuple[str, str]], first: bool, last
         at += len(head) + len(body) + len(END)
     rendered = "".join(parts)
     e = chat_tokenizer(path).encode(rendered, add_special_tokens=False)
-    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
+    offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
     loss = np.zeros(len(offsets) + 1, np.int64)
     if spans:
         s = np.array(spans, np.int64)

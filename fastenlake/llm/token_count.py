@@ -17,7 +17,9 @@ Counts per distinct word are remembered by each worker (MEMO words), so a text
 costs little more than its split.
 
 Defined cases: null text counts as empty and has 0 tokens and score 0; repeated
-rows each get a row; extra columns are ignored; an empty table gives no rows.
+rows each get a row; extra columns are ignored; an empty table gives no rows; a run of
+white space of any kind and length counts as one mark (as unigram tokenizers normalise it);
+a very long text's words are held whole by one task, and so is a very long word, unremembered.
 """
 
 from __future__ import annotations

@@ -63,3 +63,9 @@ def test_text_tokens_are_the_tokenizers_own():
 
 def test_empty_table(spark):
     assert cf.formatted_digests(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_one_very_long_turn(spark):
+    text = "word <|im_end|> and " * 60_000
+    (row,) = cf.formatted_digests(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text), (1, 2, "assistant", None)], SCHEMA), PATH).collect()
+    assert tuple(row)[:5] == want_of([(1, 0, "user", "q"), (1, 1, "assistant", text), (1, 2, "assistant", None)])[0]

@@ -70,3 +70,10 @@ def test_rows_and_scores(spark):
         want.append((i, len(words), sum(one.count(tc.MARK + w.decode())[0] for w in words), sum(brute(pieces, unknown, tc.MARK + w.decode()) for w in words)))
     assert got == sorted(want, key=str)
     assert tc.token_counts(df.limit(0), PATH).collect() == []
+
+
+def test_very_long_texts_and_words(spark):
+    rows = [(1, "word other \n\t" * 100_000), (2, "abc" * 50_000), (3, " \n" * 1000)]
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in tc.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    one = tc.Counter(*tc.vocabulary(PATH))
+    assert got[1] == (200_000, 100_000 * sum(one.count(tc.MARK + w)[0] for w in ("word", "other"))) and got[2][0] == 1 and got[2][1] > 10_000 and got[3] == (0, 0)
