@@ -2,7 +2,15 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the docs of
-the next stage.  All but the last return the columns of documents.
+the next stage.  All but the last return the columns of documents, further columns included.
+
+Defined cases, for every stage: rows are judged by themselves, so a doc_id that repeats with
+another text is another document and loses nothing with its namesake; null texts count
+as empty; an empty table stays empty.  In stage order: a text without a letter (null, empty)
+is in no language and goes, a null doc_id is drawn for fitting like the text ``''``; a null
+source is a site of its own; of a near-duplicate group the rows of the least doc_id stay,
+null doc_ids only where there is no other; contaminated rows go whatever their doc_id;
+rows with a null or repeated doc_id are packed like any other, each for itself.
 """
 
 from __future__ import annotations
@@ -24,24 +32,25 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language the models know, go."""
+    """Documents without a letter, or in no language the models know, go; the labelled rows
+    outside the held-out quarter are learned from."""
     small_batches(spark)
     return accepted(docs, remainder(F.col("doc_id"), 4) != 2)
 
 
 def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines leave the texts; every document stays."""
+    """Cross-site boilerplate lines leave the texts but for their first place; every document stays."""
     return line_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the least doc_id stays."""
+    """Of each near-duplicate group (at most three fingerprint bits a link) the document with the least doc_id stays."""
     small_batches(spark)
     return simhash_dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item, verbatim or re-parameterised, go."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
