@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fastenlake import vocab
 
 #: How descriptions write materials and finishes
-MATERIAL_TEXTS = {"ALLOY STEEL": "alloy", "STEEL": "steel", "18-8 SS": "ss_18_8", "316 SS": "ss_316", "A2 SS": "ss_a2", "BRASS": "brass"}
+MATERIAL_TEXTS = {"ALLOY": "alloy", "STEEL": "steel", "18-8 SS": "ss_18_8", "316 SS": "ss_316", "A2 SS": "ss_a2", "BRASS": "brass"}
 FINISH_TEXTS = {"YELLOW ZINC": "yellow_zinc", "YEL ZINC": "yellow_zinc", "YELLOW ZN": "yellow_zinc", "YEL ZN": "yellow_zinc", "MECH ZINC": "mech_zinc", "MECH ZN": "mech_zinc", "ZINC": "zinc", "ZN": "zinc", "HDG": "hdg", "PLAIN": "plain", "PLN": "plain", "BLACK OXIDE": "black_oxide", "BLK OXIDE": "black_oxide"}
 
 
@@ -36,21 +36,27 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def description_fields(rows: DataFrame) -> DataFrame:
-    """Adds nominal, pitch, mm, type_phrase, standard, material, finish, read natively from
-    the end of the description (finish, material, standard) and from its head (sizes)."""
+    """Adds nominal, pitch, length, unit, mm, type_phrase, standard, material, finish, read
+    natively: the description ends in its first material and a finish, begins with the
+    diameter, and may go on with a length.  All are null where it doesn't follow that."""
     text = F.upper(F.regexp_replace(F.trim("description"), r"\s+", " "))
-    tail = f"^(.*?) ?\\b({'|'.join(MATERIAL_TEXTS)}) ({'|'.join(FINISH_TEXTS)})$"
-    head = r'^(M\d+|#\d+|\d+/\d+)(?:-(\d+(?:\.\d+)?))?(?: X ([0-9./-]+)("| ?IN| ?FT| ?MM))? (.*)$'
-    code = r"^(.*?) ((?:ASME|DIN|ISO|IFI|ASTM) [A-Z]?\d[\d.]*)$"
+    materials, finishes = "|".join(MATERIAL_TEXTS), "|".join(FINISH_TEXTS)
+    tail = f"^((?:(?!{materials}).)*)({materials}) ?({finishes})$"
+    head = r'^(#\d+|M\d+|\d+(?:-\d+/\d+|/\d+)?)(?:-([\d.]+))? ?(?:X ?(\d+(?:-\d+/\d+)?(?:/\d+)?) ?(MM|FT|IN|")?)? ?(.*?) ?$'
+    code = r"^(|.* )([A-Z]{3,4} [A-Z]?\d[\w.]*)$"
     out = rows.withColumns({"__text": text})
-    out = out.withColumns({"__front": F.regexp_extract("__text", tail, 1), "material": _lookup(MATERIAL_TEXTS, F.regexp_extract("__text", tail, 2)), "finish": _lookup(FINISH_TEXTS, F.regexp_extract("__text", tail, 3))})
+    out = out.withColumns({"__front": F.regexp_extract("__text", tail, 1), "__material": F.regexp_extract("__text", tail, 2), "__finish": F.regexp_extract("__text", tail, 3)})
     group = lambda i: F.nullif(F.regexp_extract("__front", head, i), F.lit(""))
-    unit = F.when(group(4) == '"', "in").otherwise(F.lower(F.trim(group(4))))
-    out = out.withColumns({"nominal": group(1), "pitch": group(2), "mm": to_mm(number(group(3)), unit), "__rest": group(5)})
+    told = F.when(group(4) == '"', "in").otherwise(F.lower(group(4)))
+    # without a unit: millimetres for whole numbers behind a metric diameter, else inches
+    unit = F.when(group(3).isNotNull(), F.coalesce(told, F.when(group(1).startswith("M") & ~group(3).contains("/"), "mm").otherwise("in")))
+    out = out.withColumns({"nominal": group(1), "pitch": group(2), "length": group(3), "unit": unit, "__rest": F.regexp_extract("__front", head, 5)})
+    whole = F.col("nominal").isNotNull()
     return out.withColumns({
+        "mm": to_mm(number(F.col("length")), F.col("unit")), "material": F.when(whole, _lookup(MATERIAL_TEXTS, F.col("__material"))), "finish": F.when(whole, _lookup(FINISH_TEXTS, F.col("__finish"))),
         "standard": F.nullif(F.regexp_extract("__rest", code, 2), F.lit("")),
-        "type_phrase": F.coalesce(F.nullif(F.regexp_extract("__rest", code, 1), F.lit("")), F.col("__rest")),
-    }).drop("__text", "__front", "__rest")
+        "type_phrase": F.when(whole, F.when(F.col("__rest").rlike(code), F.trim(F.regexp_extract("__rest", code, 1))).otherwise(F.col("__rest"))),
+    }).drop("__text", "__front", "__rest", "__material", "__finish")
 
 
 def sku_codes(rows: DataFrame) -> DataFrame:
