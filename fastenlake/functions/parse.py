@@ -1,9 +1,9 @@
 """Requests and descriptions to structured specs.
 
 ``read_request`` never fails: what it can't place is residue.  ``read_description``
-follows the catalog's grammar and returns None where a text doesn't.  Both run once
-per text and worker inside Arrow-batched functions (``query_spec``,
-``description_spec``); each worker remembers the texts it has read.
+follows the catalog's grammar and returns None where a text doesn't.  ``query_spec`` and
+``description_spec`` are functions of Python: rows come in Arrow batches, and each row is one
+call; a worker remembers the last 50,000 texts, so a repeated one costs a look-up.
 """
 
 from __future__ import annotations

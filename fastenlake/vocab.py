@@ -49,6 +49,7 @@ class Config:
     """Every tunable of the engine.  The lexicon's strengths and the strength of a
     corrected word are parameters too, and take effect wherever a config is passed."""
 
+    # The defaults of all parameters
     epsilon: float = 0.02
     kappa: float = 3.0
     tau_days: float = 180.0
