@@ -141,8 +141,11 @@ class Customers:
         return cls(keep(profiled.join(maps, "customer_id")), bought, gone, keep(siblings(gone)), keep(preferences(profiled, table)))
 
 
-#: What prior() and personal_reasons() need of a compatible row
+#: What the prior and personal_reasons() need of a compatible row
 CANDIDATE = ["class_key", "sku", "credit", "q_material", "q_finish", "q_nominal", "q_residue", "i_system", "i_nominal", "i_type", "i_material", "i_material_family", "i_finish"]
+STATED = ["q_material", "q_finish", "q_nominal", "q_residue"]
+#: Items of one cell of a class differ for a customer only by what the customer bought
+CELL = ["i_material", "i_finish", "i_system", "credit"]
 
 
 def with_profile(requests: DataFrame, known: Customers) -> DataFrame:
@@ -151,26 +154,120 @@ def with_profile(requests: DataFrame, known: Customers) -> DataFrame:
     return requests.join(known.profiles, "customer_id", "left")
 
 
-def prior(candidates: DataFrame, known: Customers, config: vocab.Config = vocab.DEFAULT) -> DataFrame:
-    """candidates: compatible (request, item) rows of requests with a customer, with the
-    class and item columns and request_id, customer_id.  Adds has_profile, n_eff, repeat,
-    bought, last_order_date, sibling, prior.  A customer without lines has no profile
-    and gets the uniform prior."""
-    found = candidates if "lambda" in candidates.columns else with_profile(candidates, known)
-    found = found.join(known.purchases.select("customer_id", "sku", "bought", "last_order_date", "repeat"), ["customer_id", "sku"], "left")
-    found = found.withColumn("sibling_key", sibling_key(F.col("i_system"), F.col("i_nominal"), F.col("i_type"), F.col("i_material_family")))
-    found = found.join(known.siblings, ["customer_id", "sibling_key"], "left").drop("sibling_key")
-    own = F.coalesce("repeat", F.lit(0.0))
-    repeat = F.when(F.col("sibling").isNull(), own).otherwise(F.greatest(own, F.lit(config.sibling_credit)))
+def _item_key() -> Column:
+    return sibling_key(F.col("i_system"), F.col("i_nominal"), F.col("i_type"), F.col("i_material_family"))
+
+
+def _weight(repeat: Column, config: vocab.Config) -> Column:
     factor = F.lit(1.0)
     for a, stated, value in (("material", "q_material", "i_material"), ("finish", "q_finish", "i_finish"), ("threadSystem", "q_nominal", "i_system")):
         factor = factor * F.when(F.col(stated).isNull(), F.coalesce(F.col(f"share_{a}")[F.col(value)], F.lit(1.0))).otherwise(1.0)
-    found = found.withColumn("repeat", repeat).withColumn("__w", (1 + config.w_sku * F.col("repeat")) * factor).drop(*[f"share_{a}" for a in SHARES])
-    mine = Window.partitionBy("request_id")
-    mass, n, lam = F.sum("__w").over(mine), F.count(F.lit(1)).over(mine), F.coalesce("lambda", F.lit(0.0))
-    found = found.withColumns({"__mass": mass, "__n": n})
-    q = lam * F.when(F.col("__mass") == 0, 1 / F.col("__n")).otherwise(F.col("__w") / F.col("__mass")) + (1 - lam) / F.col("__n")
-    return found.withColumn("prior", q).withColumn("has_profile", F.col("lambda").isNotNull()).drop("__w", "__mass", "__n", "lambda")
+    return (1 + config.w_sku * repeat) * factor
+
+
+@dataclass
+class Personal:
+    """The priors of requests with a customer, from sums over cells: a request meets a class's
+    cells, what its customer bought and the siblings of that, not the compatible items.
+
+    groups holds signed counts: every cell with all its items, and for items that were
+    bought or are siblings one row that counts them where they belong and one that takes
+    them off where they don't.  So sums over groups are sums over the compatible set."""
+
+    #: request_id, customer_id, class_key, limit, STATED, profile columns
+    asked: DataFrame
+    #: compatible rows: CANDIDATE
+    fits: DataFrame
+    #: request_id, kind (cell, sibling, bought), key, cell, CELL, n, w, first (least SKU of a cell)
+    groups: DataFrame
+    #: request_id, mass, credited, n, credit_sum
+    totals: DataFrame
+    known: Customers
+    config: vocab.Config
+
+    @classmethod
+    def of(cls, requests: DataFrame, fits: DataFrame, known: Customers, config: vocab.Config = vocab.DEFAULT, keep=lambda df: df) -> Personal:
+        asked = keep(with_profile(requests, known))
+        cell = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CELL])
+        fits = fits.withColumns({"cell": cell, "sibling_key": _item_key()})
+        groups = keep(_groups(asked, fits, known, config))
+        n, w, credit = F.col("n"), F.col("w"), F.col("credit")
+        totals = keep(groups.groupBy("request_id").agg(F.sum(n * w).alias("mass"), F.sum(n * w * credit).alias("credited"), F.sum(n).alias("n"), F.sum(n * credit).alias("credit_sum")).withColumnsRenamed({"n": "n_all"}))
+        return cls(asked, fits, groups, totals, known, config)
+
+    def _share(self) -> Column:
+        """The prior of a row with weight w, beside totals and lambda."""
+        lam, n = F.coalesce("lambda", F.lit(0.0)), F.col("n_all")
+        return lam * F.when(F.col("mass") == 0, 1 / n).otherwise(F.col("w") / F.col("mass")) + (1 - lam) / n
+
+    def _with_totals(self, rows: DataFrame) -> DataFrame:
+        """rows with prior, and total: the sum of prior times credit over the compatible set."""
+        lam, n = F.coalesce("lambda", F.lit(0.0)), F.col("n_all")
+        total = lam * F.when(F.col("mass") == 0, F.col("credit_sum") / n).otherwise(F.col("credited") / F.col("mass")) + (1 - lam) * F.col("credit_sum") / n
+        return rows.join(self.totals, "request_id").withColumns({"prior": self._share(), "total": total}).drop("mass", "credited", "n_all", "credit_sum")
+
+    def scored(self, among: DataFrame | None = None) -> DataFrame:
+        """(request, item) rows with prior, total, has_profile, repeat, bought, last_order_date,
+        sibling; among: request_id, sku of the rows that are wanted (default: all)."""
+        narrow = self.asked.drop(*STATED)
+        if among is None:
+            found = narrow.join(self.fits, "class_key")
+        else:
+            found = narrow.join(among, "request_id").join(self.fits, ["class_key", "sku"])
+        found = found.join(self.known.purchases.select("customer_id", "sku", "bought", "last_order_date", "repeat"), ["customer_id", "sku"], "left")
+        found = found.join(self.known.siblings, ["customer_id", "sibling_key"], "left").drop("sibling_key", "cell")
+        own = F.coalesce("repeat", F.lit(0.0))
+        repeat = F.when(F.col("sibling").isNull(), own).otherwise(F.greatest(own, F.lit(self.config.sibling_credit)))
+        found = found.withColumn("repeat", repeat).withColumn("w", _weight(F.col("repeat"), self.config)).drop(*[f"share_{a}" for a in SHARES])
+        return self._with_totals(found).withColumn("has_profile", F.col("lambda").isNotNull()).drop("w", "lambda")
+
+    def cells(self) -> DataFrame:
+        """request_id, customer_id, i_material, i_finish of every cell of each request's class."""
+        return self.groups.where("first IS NOT NULL").join(self.asked.select("request_id", "customer_id"), "request_id").select("request_id", "customer_id", "i_material", "i_finish")
+
+    def extremes(self) -> DataFrame:
+        """request_id, low, high: of prior times credit over the compatible set."""
+        there = self.groups.groupBy("request_id", "kind", "key", "cell").agg(F.sum("n").alias("n"), F.first("w").alias("w"), F.first("credit").alias("credit")).where("n > 0").drop("n")
+        rated = self._with_totals(there.join(self.asked.select("request_id", "lambda"), "request_id"))
+        worth = F.col("prior") * F.col("credit")
+        return rated.groupBy("request_id").agg(F.min(worth).alias("low"), F.max(worth).alias("high"), F.first("total").alias("total"))
+
+    def candidates(self, most: int) -> DataFrame:
+        """request_id, sku: a few rows that hold each request's `most` best.
+
+        Of equal weight the lesser SKU is better, and bought items and siblings are at least
+        as good as the rest of their cell: so an item among the best is bought, or among the
+        first `most` SKUs of its sibling group or of one of the `most` best cells."""
+        place = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy("sku"))
+        firsts = self.fits.select("class_key", "cell", "sku").withColumn("place", place(["class_key", "cell"])).where(F.col("place") <= most).drop("place")
+        rated = self._with_totals(self.groups.where("first IS NOT NULL").drop("n").join(self.asked.select("request_id", "class_key", "lambda"), "request_id"))
+        order = Window.partitionBy("request_id").orderBy(F.desc(F.col("prior") * F.col("credit")), F.asc("first"))
+        best = rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("request_id", "class_key", "cell")
+        by_cell = best.join(firsts, ["class_key", "cell"]).select("request_id", "sku")
+        alike = self.fits.join(self.known.siblings.select("sibling_key").distinct(), "sibling_key", "left_semi").select("class_key", "sibling_key", "cell", "sku")
+        alike = alike.withColumn("place", place(["class_key", "sibling_key", "cell"])).where(F.col("place") <= most).drop("place", "cell")
+        by_sibling = self.asked.select("request_id", "customer_id", "class_key").join(self.known.siblings.drop("sibling"), "customer_id").join(alike, ["class_key", "sibling_key"]).select("request_id", "sku")
+        bought = self.groups.where("kind = 'bought'").select("request_id", F.col("key").alias("sku"))
+        return by_cell.unionByName(by_sibling).unionByName(bought).distinct()
+
+
+def _groups(asked: DataFrame, fits: DataFrame, known: Customers, config: vocab.Config) -> DataFrame:
+    one = lambda kind, key, n, repeat: F.struct(F.lit(kind).alias("kind"), key.alias("key"), n.cast("long").alias("n"), repeat.cast("double").alias("repeat"))
+    none, zero, credit = F.lit(""), F.lit(0.0), F.lit(config.sibling_credit)
+    n, own = F.col("n"), F.col("own")
+    narrow = asked.select("request_id", "customer_id", "class_key", "q_material", "q_finish", "q_nominal", *[f"share_{a}" for a in SHARES])
+    cells = fits.groupBy("class_key", "cell", *CELL).agg(F.count(F.lit(1)).alias("n"), F.min("sku").alias("first"))
+    alike = fits.join(known.siblings.select("sibling_key").distinct(), "sibling_key", "left_semi").groupBy("class_key", "sibling_key", "cell", *CELL).agg(F.count(F.lit(1)).alias("n"))
+    gone = known.siblings.select("customer_id", "sibling_key", F.lit(True).alias("is_sibling"))
+    whole = narrow.join(cells, "class_key").withColumn("x", F.array(one("cell", none, n, zero)))
+    siblings_ = narrow.join(gone, "customer_id").join(alike, ["class_key", "sibling_key"]).withColumn("x", F.array(one("sibling", F.col("sibling_key"), n, credit), one("cell", none, -n, zero)))
+    met = narrow.join(known.purchases.select("customer_id", "sku", F.col("repeat").alias("own")), "customer_id")
+    met = met.join(fits.select("class_key", "sku", "sibling_key", "cell", *CELL), ["class_key", "sku"]).join(gone, ["customer_id", "sibling_key"], "left")
+    off = F.when(F.col("is_sibling"), one("sibling", F.col("sibling_key"), F.lit(-1), credit)).otherwise(one("cell", none, F.lit(-1), zero))
+    bought = met.withColumn("x", F.array(one("bought", F.col("sku"), F.lit(1), F.when(F.col("is_sibling"), F.greatest(own, credit)).otherwise(own)), off))
+    every = [d.select("request_id", "cell", *CELL, F.explode("x").alias("x"), f.alias("first"), *[c for c in narrow.columns if c.startswith(("q_", "share_"))]) for d, f in ((whole, F.col("first")), (siblings_, F.lit(None).cast("string")), (bought, F.lit(None).cast("string")))]
+    rows = every[0].unionByName(every[1]).unionByName(every[2])
+    return rows.select("request_id", "x.kind", "x.key", "cell", *CELL, "x.n", _weight(F.col("x.repeat"), config).alias("w"), "first")
 
 
 def preferences(profiled: DataFrame, table: DataFrame) -> DataFrame:
@@ -182,8 +279,8 @@ def preferences(profiled: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def personal_reasons(rows: DataFrame, known: Customers, among: DataFrame | None = None) -> DataFrame:
-    """rows: what prior() returned, or some of them; among: all rows of the same compatible
-    sets (default: rows).  Adds reason and overridden_by."""
+    """rows: what Personal.scored() returned, or some of them; among: the materials and
+    finishes of the same compatible sets (default: rows).  Adds reason and overridden_by."""
     prefers = known.preferences.select("customer_id", F.col("material").alias("p_material"), F.col("finish").alias("p_finish"))
     found = rows.join(prefers, "customer_id", "left")
     whole = (rows if among is None else among).select("request_id", "customer_id", "i_material", "i_finish").join(prefers, "customer_id", "left")

@@ -4,9 +4,9 @@ posterior, relaxations.
 Everything up to the personal prior depends only on a request's *spec class*, the
 attributes it states; requests are first reduced to their distinct classes.  A class
 meets the items by equal keys ``diameter|type`` in which an unstated side is ``*``; an
-item carries all of its keys, so the wildcard predicate is an equi-join.  Classes with
-neither side would meet the whole catalog under one key; that key is dealt over SALTS
-partitions.  All other constraints are residual predicates on the joined rows.
+item carries all of its keys, so the wildcard predicate is an equi-join.  A key of more than
+SPLIT items is dealt over as many salts as it has SPLITs, by a count of the items; classes
+ask for every salt of their keys.  All other constraints are residual predicates on the joined rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from fastenlake import vocab
 
-SALTS = 32
+#: The most items under one salt of a key
+SPLIT = 10_000
 RESIDUAL = ["length", "standard", "material", "finish"]
 #: Columns of a class
 CLASS = ["q_nominal", "q_system", "q_known", "q_pitch", "q_types", "q_barred", "q_mm", "q_standard", "q_material", "q_material_strength", "q_finish", "q_finish_strength", "q_residue"]
@@ -34,6 +35,11 @@ def mm_key(mm: Column) -> Column:
     return F.floor(mm * 1000 + 0.5)
 
 
+def within_tolerance(candidate: Column, stated: Column, tolerance: float) -> Column:
+    """Lengths in millimetres at most `tolerance` (a share of the stated one) apart."""
+    return F.abs(candidate - stated) <= F.abs(stated) * tolerance
+
+
 def yes(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
@@ -83,7 +89,7 @@ def bind_length(requests: DataFrame, items: DataFrame, spec: str = "spec") -> Da
 def constraints(config: vocab.Config = vocab.DEFAULT, drop_standard: bool = False, widen: bool = False, length: str = "exact") -> dict[str, Column]:
     """attribute -> holds (true where the class doesn't state it), in probing order."""
     c = F.col
-    within = {"exact": mm_key(c("i_mm")) == mm_key(c("q_mm")), "approximate": F.abs(c("i_mm") - c("q_mm")) <= F.abs(c("q_mm")) * config.length_tolerance, "drop": F.lit(True)}[length]
+    within = {"exact": mm_key(c("i_mm")) == mm_key(c("q_mm")), "approximate": within_tolerance(c("i_mm"), c("q_mm"), config.length_tolerance), "drop": F.lit(True)}[length]
 
     def by_family(a: str, table: dict[str, str]) -> Column:
         own = c(f"i_{a}_family")
@@ -117,23 +123,31 @@ def item_keys(items: DataFrame) -> DataFrame:
     """Active items, one row for each key they answer to."""
     d, t = F.coalesce("i_nominal", F.lit("?")), F.explode(F.when(F.size("i_types") == 0, F.array(F.lit("?"))).otherwise(F.col("i_types")))
     each = items.where("active").withColumn("__t", t)
-    keys = F.array(F.concat_ws("|", d, "__t"), F.concat_ws("|", d, F.lit("*")), F.concat_ws("|", F.lit("*"), "__t"), F.concat_ws("|", F.lit("*"), F.lit("*"), F.pmod(F.xxhash64("sku"), F.lit(SALTS)).cast("string")))
+    keys = F.array(F.concat_ws("|", d, "__t"), F.concat_ws("|", d, F.lit("*")), F.concat_ws("|", F.lit("*"), "__t"), F.lit("*|*"))
     return each.withColumn("key", F.explode(keys)).drop("__t").dropDuplicates(["sku", "key"])
 
 
 def class_keys(found: DataFrame) -> DataFrame:
     """Classes, one row for each key they ask for; impossible ones ask for none."""
     d = F.coalesce("q_nominal", F.lit("*"))
-    open_ = F.col("q_nominal").isNull() & (F.size("q_types") == 0)
     by_type = F.transform(F.array_distinct(F.col("q_types")["value"]), lambda t: F.concat_ws("|", d, t))
-    keys = F.when(open_, F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.concat_ws("|", F.lit("*"), F.lit("*"), i.cast("string")))).when(F.size("q_types") == 0, F.array(F.concat_ws("|", d, F.lit("*")))).otherwise(by_type)
+    keys = F.when(F.size("q_types") == 0, F.array(F.concat_ws("|", d, F.lit("*")))).otherwise(by_type)
     possible = ~F.col("q_barred") & F.coalesce("q_known", F.lit(True))
     return found.where(possible).withColumn("key", F.explode(keys))
 
 
+def salts(keyed: DataFrame) -> DataFrame:
+    """key, salts of the keys with more than SPLIT items: fewer than four per SPLIT of the catalog's item rows."""
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("salts"))
+
+
 def met(found: DataFrame, items: DataFrame) -> DataFrame:
     """(class, item) rows in which diameter and type agree."""
-    return class_keys(found).join(item_keys(items), "key").drop("key").where(constraints()["diameter"])
+    keyed = item_keys(items)
+    hot, many = salts(keyed), F.coalesce("salts", F.lit(1))
+    there = keyed.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("sku"), many).cast("int")).drop("salts")
+    asked = class_keys(found).join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts")
+    return asked.join(there, ["key", "salt"]).drop("key", "salt").where(constraints()["diameter"])
 
 
 # --- Judging a joined row ---

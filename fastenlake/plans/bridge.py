@@ -13,8 +13,10 @@ from fastenlake.sources.tables import history_lines, items
 
 PHRASES = ["hex cap screw", "socket head cap screw", "button socket cap screw", "phillips pan machine screw", "lag screw", "tap bolt", "threaded rod", "hex nut", "flat washer", "lock washer"]
 SHORT = ["hx cap scr", "shcs", "bhcs", "phil pan mach scr", "lag scr", "tap bolt", "full thread rod", "hx nut", "flat wshr", "lock wshr"]
-MATERIALS = ["steel", "18-8 ss", "316 ss", "a2 ss", "brass", "alloy steel"]
+MATERIALS = ["steel", "18-8 ss", "316 ss", "a2 ss", "brass", "alloy"]
 FINISHES = ["zinc", "yellow zinc", "mech zinc", "hdg", "plain", "black oxide"]
+#: The phrases with a misspelt word
+MISSPELT = ["hex cap scew", "socket head cap screww", "button sockt cap screw", "phillips pan machin screw", "lag scerw", "tap bollt", "threadd rod", "hex nutt", "flat washr", "lock wahser"]
 LENGTH_BEARING = 7
 METRIC_LENGTHS = [10, 16, 20, 25, 30, 40, 50, 60]
 INCH_LENGTHS = [("1/2", 12.7), ("3/4", 19.05), ("1", 25.4), ("1-1/4", 31.75), ("1-1/2", 38.1), ("2", 50.8), ("2-1/2", 63.5), ("3", 76.2)]
@@ -42,7 +44,7 @@ def _columns(k: str = "k") -> dict[str, str]:
     bears, metric = f"{kind} < {LENGTH_BEARING}", f"{system} = 'metric'"
     standards = [None, *vocab.STANDARDS]
     return {
-        "b_type": pick(kind, vocab.PRODUCT_TYPES), "b_phrase": pick(kind, PHRASES), "b_short": pick(kind, SHORT), "b_code": pick(kind, list(vocab.SKU_TYPES)),
+        "b_type": pick(kind, vocab.PRODUCT_TYPES), "b_phrase": pick(kind, PHRASES), "b_short": pick(kind, SHORT), "b_misspelt": pick(kind, MISSPELT), "b_code": pick(kind, list(vocab.SKU_TYPES)),
         "b_nominal": pick(dia, [d[0] for d in vocab.DIAMETERS]), "b_system": system, "b_pitch": pick(dia, [d[2] for d in vocab.DIAMETERS]),
         "b_material": pick(mat, list(vocab.MATERIAL_FAMILY)), "b_material_phrase": pick(mat, MATERIALS), "b_material_code": pick(mat, list(vocab.SKU_MATERIALS)),
         "b_finish": pick(fin, list(vocab.FINISH_FAMILY)), "b_finish_phrase": pick(fin, FINISHES), "b_finish_code": pick(fin, list(vocab.SKU_FINISHES)),
@@ -79,20 +81,24 @@ SELECT concat('C', CAST(o_custkey AS VARCHAR(20))) AS customer_id, concat('Custo
   c.k, b_type, b_nominal, b_system, b_pitch, b_material, b_finish, b_standard, b_mm, active
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN ({CATALOG}) c ON l_partkey = c.k AND c.copy = 0"""
 
-_SAYS = "k % 8"
+_SAYS = "k % 12"
 _LONG = "CASE WHEN b_length IS NOT NULL THEN concat(b_nominal, ' x ', b_length) ELSE b_nominal END"
 _OTHER = _columns("(k + 10)")
-#: Requests: the text, and what it says.
+#: Requests: the text, and what it says: values, and the strengths r_ts (of r_type and r_type2), r_ts3 (of r_type3) and r_ms (of r_material).
 REQUESTS = f"""
-SELECT k AS request_id, CASE WHEN k % 2 = 0 THEN concat('C', CAST(7 * k % 100 + 1 AS VARCHAR(20))) END AS customer_id, CAST(k % 5 + 1 AS INT) AS "limit", lower(CASE {_SAYS}
+SELECT k AS request_id, CASE WHEN k % 2 = 0 THEN concat('C', CAST(7 * {div("k", 2)} % (SELECT count(*) FROM customer) + 1 AS VARCHAR(20))) END AS customer_id, CAST(k % 5 + 1 AS INT) AS "limit", lower(CASE {_SAYS}
     WHEN 0 THEN concat(b_nominal, ' ', b_phrase) WHEN 1 THEN concat({_LONG}, ' ', b_short) WHEN 2 THEN concat(b_phrase, ' ', b_material_phrase)
     WHEN 3 THEN concat(b_nominal, ' ', b_finish_phrase) WHEN 4 THEN concat({_LONG}, ' ', b_phrase, CASE WHEN b_standard IS NOT NULL THEN concat(' ', b_standard) ELSE '' END, ' ', b_material_phrase, ' ', b_finish_phrase)
     WHEN 5 THEN concat({_LONG}, ' ', b_phrase, ' ', o_standard_text, b_material_phrase, ' ', o_finish_phrase) WHEN 6 THEN concat(b_material_phrase, ' ', b_finish_phrase)
-    ELSE concat('please quote 20 pcs of widget ', b_nominal, ' ', b_phrase) END) AS query,
+    WHEN 7 THEN concat('please quote 20 pcs of widget ', b_nominal, ' ', b_phrase) WHEN 8 THEN concat(b_nominal, ' washer ', b_finish_phrase) WHEN 9 THEN concat('bolt ', b_nominal)
+    WHEN 10 THEN concat(b_nominal, ' ', b_misspelt) ELSE concat(b_phrase, ' stainless ', b_nominal) END) AS query,
+  CASE {_SAYS} WHEN 7 THEN lower(concat('widget ', b_nominal, ' ', b_phrase)) WHEN 10 THEN lower(concat(b_nominal, ' ', b_phrase)) END AS r_words,
   CASE WHEN {_SAYS} NOT IN (2, 6) THEN b_nominal END AS r_nominal, CASE WHEN {_SAYS} NOT IN (2, 6) THEN b_system END AS r_system,
-  CASE WHEN {_SAYS} NOT IN (3, 6) THEN b_type END AS r_type, CASE WHEN {_SAYS} IN (1, 4, 5) THEN b_mm END AS r_mm,
-  CASE {_SAYS} WHEN 4 THEN b_standard WHEN 5 THEN o_standard END AS r_standard, CASE WHEN {_SAYS} IN (2, 4, 5, 6) THEN b_material END AS r_material,
-  CASE {_SAYS} WHEN 3 THEN b_finish WHEN 4 THEN b_finish WHEN 5 THEN o_finish WHEN 6 THEN b_finish END AS r_finish, CASE WHEN {_SAYS} = 7 THEN 1 ELSE 0 END AS r_residue
+  CASE WHEN {_SAYS} IN (3, 6) THEN NULL WHEN {_SAYS} = 8 THEN 'flat_washer' WHEN {_SAYS} = 9 THEN 'hex_cap_screw' ELSE b_type END AS r_type, CASE {_SAYS} WHEN 8 THEN 'lock_washer' WHEN 9 THEN 'tap_bolt' END AS r_type2,
+  CASE {_SAYS} WHEN 9 THEN 'lag_screw' END AS r_type3, CASE {_SAYS} WHEN 8 THEN 0.6 WHEN 9 THEN 0.5 WHEN 10 THEN 0.9 ELSE 1.0 END AS r_ts, 0.4 AS r_ts3, CASE WHEN {_SAYS} = 11 THEN 0.8 ELSE 1.0 END AS r_ms,
+  CASE WHEN {_SAYS} IN (1, 4, 5) THEN b_mm END AS r_mm,
+  CASE {_SAYS} WHEN 4 THEN b_standard WHEN 5 THEN o_standard END AS r_standard, CASE WHEN {_SAYS} IN (2, 4, 5, 6) THEN b_material WHEN {_SAYS} = 11 THEN 'stainless' END AS r_material,
+  CASE {_SAYS} WHEN 3 THEN b_finish WHEN 4 THEN b_finish WHEN 5 THEN o_finish WHEN 6 THEN b_finish WHEN 8 THEN b_finish END AS r_finish, CASE WHEN {_SAYS} = 7 THEN 1 ELSE 0 END AS r_residue
 FROM (SELECT *, {_OTHER["b_standard"]} AS o_standard, {_OTHER["b_finish"]} AS o_finish, {_OTHER["b_finish_phrase"]} AS o_finish_phrase,
   CASE WHEN {_OTHER["b_standard"]} IS NULL THEN '' ELSE concat({_OTHER["b_standard"]}, ' ') END AS o_standard_text FROM ({PARTS}) q) r"""
 
@@ -100,7 +106,7 @@ FROM (SELECT *, {_OTHER["b_standard"]} AS o_standard, {_OTHER["b_finish"]} AS o_
 REFERENCES = """
 SELECT o_custkey * 10 + form AS request_id, concat('C', CAST(o_custkey AS VARCHAR(20))) AS customer_id, CAST(5 AS INT) AS "limit",
   CASE form WHEN 0 THEN 'same washer as last time' WHEN 1 THEN 'reorder hex nut' WHEN 2 THEN 'usual hex cap screw but brass' ELSE 'hex nut again in 316 ss plain' END AS query, form
-FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 3 = 0) o CROSS JOIN (SELECT 0 AS form UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) f"""
+FROM (SELECT DISTINCT o_custkey FROM orders ) o CROSS JOIN (SELECT 0 AS form UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) f"""
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str, tables: tuple[str, ...]) -> DataFrame:
@@ -129,5 +135,5 @@ def history_with_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str, references: bool = False) -> DataFrame:
-    text, tables = (REFERENCES, ("orders",)) if references else (REQUESTS, ("part",))
+    text, tables = (REFERENCES, ("orders",)) if references else (REQUESTS, ("part", "customer"))
     return _sql(spark, sf_dir, text, tables).select(F.col("request_id").cast("long"), "query", "customer_id", "limit")

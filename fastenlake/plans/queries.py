@@ -45,10 +45,11 @@ _FINISH_FAMILY = "(CASE WHEN {0} IN ('zinc', 'yellow_zinc', 'mech_zinc') THEN 'z
 _CAT = f"cat AS (SELECT * FROM ({br.CATALOG}) x WHERE copy = 0), act AS (SELECT * FROM cat WHERE active)"
 _REQ = f"req AS (SELECT * FROM ({br.REQUESTS}) x)"
 _HIST = f"hist AS (SELECT *, CAST(order_date AS DATE) AS d FROM ({br.HISTORY}) x)"
-_SAME_MAT, _SAME_FIN = "(r_material IS NULL OR r_material = b_material)", "(r_finish IS NULL OR r_finish = b_finish)"
+_SAME_MAT, _SAME_FIN = f"(r_material IS NULL OR r_material = b_material OR (r_material = 'stainless' AND {_MATERIAL_FAMILY.format('b_material')} = 'stainless'))", "(r_finish IS NULL OR r_finish = b_finish)"
+_CREDIT = "(CASE WHEN r_type IS NULL THEN 1.0 WHEN b_type = r_type3 THEN r_ts3 ELSE r_ts END * CASE WHEN r_material IS NULL THEN 1.0 WHEN r_material = b_material THEN r_ms ELSE r_ms * 0.8 END)"
 _SAME_STD, _SAME_LEN = "(r_standard IS NULL OR coalesce(r_standard = b_standard, FALSE))", "(r_mm IS NULL OR coalesce(r_mm = b_mm, FALSE))"
-_JOINED = "joined AS (SELECT * FROM req JOIN act ON (r_nominal IS NULL OR r_nominal = b_nominal) AND (r_type IS NULL OR r_type = b_type))"
-_PAIRS = f"pairs AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM joined WHERE {_SAME_MAT} AND {_SAME_FIN} AND {_SAME_STD} AND {_SAME_LEN})"
+_JOINED = "joined AS (SELECT * FROM req JOIN act ON (r_nominal IS NULL OR r_nominal = b_nominal) AND (r_type IS NULL OR r_type = b_type OR coalesce(b_type IN (r_type2, r_type3), FALSE)))"
+_PAIRS = f"pairs AS (SELECT *, CAST({_CREDIT} AS DOUBLE) AS credit, count(*) OVER (PARTITION BY request_id) AS n FROM joined WHERE {_SAME_MAT} AND {_SAME_FIN} AND {_SAME_STD} AND {_SAME_LEN})"
 _MATCH = f"WITH {_CAT}, {_REQ}, {_JOINED}, {_PAIRS}"
 _STATUS = "CASE WHEN n IS NULL THEN 'none' WHEN r_nominal IS NULL AND r_type IS NULL THEN 'unparsed' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END"
 _COUNTS = "counts AS (SELECT req.*, c.n FROM req LEFT JOIN (SELECT request_id, count(*) AS n FROM pairs GROUP BY 1) c USING (request_id))"
@@ -103,11 +104,11 @@ def sku_codes(spark, sf_dir):
     return pf.sku_codes(first_by(br.catalog(spark, sf_dir), ["sku"], [F.col("line_no")])).select("sku", "type", "material", "finish")
 
 
-@query(f"WITH {_REQ} SELECT request_id, r_nominal AS nominal, r_system AS system, r_type AS type, r_mm AS mm, r_standard AS standard, r_material AS material, r_finish AS finish, CASE WHEN r_residue = 1 THEN 'widget' ELSE '' END AS residue FROM req")
+@query(f"WITH {_REQ} SELECT request_id, r_nominal AS nominal, r_system AS system, concat_ws(',', r_type, r_type2, r_type3) AS types, CASE WHEN r_type IS NOT NULL THEN CAST(r_ts AS DOUBLE) END AS strength, CASE WHEN r_material IS NOT NULL THEN CAST(r_ms AS DOUBLE) END AS material_strength, r_mm AS mm, r_standard AS standard, r_material AS material, r_finish AS finish, CASE WHEN r_residue = 1 THEN 'widget' ELSE '' END AS residue FROM req")
 def request_parse(spark, sf_dir):
     s = F.col("s")
     got = br.requests(spark, sf_dir).withColumn("s", query_spec("query"))
-    return got.select("request_id", s["diameter"]["nominal"].alias("nominal"), s["diameter"]["system"].alias("system"), F.get(s["type"], F.lit(0))["value"].alias("type"), s["length"]["mm"].alias("mm"), s["standard"].alias("standard"), s["material"]["value"].alias("material"), s["finish"]["value"].alias("finish"), F.array_join(s["residue"], ",").alias("residue"))
+    return got.select("request_id", s["diameter"]["nominal"].alias("nominal"), s["diameter"]["system"].alias("system"), F.coalesce(F.array_join(s["type"]["value"], ","), F.lit("")).alias("types"), F.get(s["type"], F.lit(0))["strength"].alias("strength"), s["material"]["strength"].alias("material_strength"), s["length"]["mm"].alias("mm"), s["standard"].alias("standard"), s["material"]["value"].alias("material"), s["finish"]["value"].alias("finish"), F.array_join(s["residue"], ",").alias("residue"))
 
 
 @query("""
@@ -179,11 +180,12 @@ def disambiguate_by(spark, sf_dir):
     return m.by_request(m.summary).where("compatible_count > 0").select("request_id", names.alias("disambiguate_by"))
 
 
-_P = "0.98 / n / (0.98 / n * n + 0.02 * pow(3.0, r_residue))"
+_P = "0.98 * credit / n / (0.98 / n * credit_sum + 0.02 * pow(3.0, r_residue))"
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(credit, 9) DESC, sku) AS place, sum(credit) OVER (PARTITION BY request_id) AS credit_sum, max(credit) OVER (PARTITION BY request_id) - min(credit) OVER (PARTITION BY request_id) < 1e-9 AS even FROM pairs)"
 
 
-@query(f"""{_MATCH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sku) AS place FROM pairs)
-SELECT request_id, sku, place, round({_P}, 6) AS confidence, CASE WHEN {_P} >= 0.8 THEN 'High' WHEN {_P} >= 0.35 THEN 'Medium' ELSE 'Low' END AS label, n > 1 AS tied
+@query(f"""{_MATCH}, {_RANKED}
+SELECT request_id, sku, place, round({_P}, 6) AS confidence, CASE WHEN {_P} >= 0.8 THEN 'High' WHEN {_P} >= 0.35 THEN 'Medium' ELSE 'Low' END AS label, n > 1 AND even AS tied
 FROM ranked WHERE place <= "limit" AND (r_nominal IS NOT NULL OR r_type IS NOT NULL)""")
 def posterior_topk(spark, sf_dir):
     m = _Matched(spark, sf_dir)
@@ -222,7 +224,7 @@ WITH {_CAT}, t AS (SELECT sku, unnest(string_split(lower(description), ' ')) AS
 dl AS (SELECT sku, sum(tf) AS dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
 SELECT sku, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 6) AS weight FROM tf JOIN dl USING (sku) JOIN df USING (term) CROSS JOIN c""")
 def bm25_index(spark, sf_dir):
-    return lx.index(br.catalog_items(spark, sf_dir)).select("sku", "term", F.round("weight", 6).alias("weight"))
+    return lx.index(br.catalog_items(spark, sf_dir), keep=kept).select("sku", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""
@@ -230,13 +232,14 @@ WITH {_CAT}, {_REQ}, t AS (SELECT sku, unnest(string_split(lower(description), '
 dl AS (SELECT sku, sum(tf) AS dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 q AS (SELECT request_id, unnest(string_split(query, ' ')) AS term, r_material, r_finish FROM req WHERE r_nominal IS NULL AND r_type IS NULL),
 s AS (SELECT request_id, sku, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN dl USING (sku) JOIN df USING (term) CROSS JOIN c GROUP BY 1, 2)
-SELECT request_id, count(*) AS hits, round(max(score) - min(score), 6) AS spread FROM s GROUP BY 1""")
+SELECT request_id, sku, place, round(score, 6) AS score, hits FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 6) DESC, sku) AS place, count(*) OVER (PARTITION BY request_id) AS hits FROM s) WHERE place <= 10""")
 def bm25_scores(spark, sf_dir):
     read = br.requests(spark, sf_dir).withColumn("spec", query_spec("query"))
     bare = read.where("spec.diameter IS NULL AND spec.type IS NULL").select("request_id", lx.bag(lexical_tokens("query", correct=True)).alias("bag"))
-    found = lx.scores(bare.select("bag").distinct(), lx.index(kept(br.catalog_items(spark, sf_dir))))
-    spread = found.groupBy("bag").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("score") - F.min("score"), 6).alias("spread"))
-    return bare.join(spread, "bag").select("request_id", "hits", "spread")
+    found = lx.scores(bare.select("bag").distinct(), lx.index(br.catalog_items(spark, sf_dir), keep=kept))
+    hits = found.groupBy("bag").agg(F.count(F.lit(1)).alias("hits"))
+    best = mt.top(found.withColumn("score", F.round("score", 6)), ["bag"], [F.desc("score"), F.asc("sku")], 10)
+    return bare.join(best, "bag").join(hits, "bag").select("request_id", "sku", F.col("rank").cast("long").alias("place"), "score", "hits")
 
 
 # --- History ---
@@ -293,9 +296,8 @@ def sibling_credit(spark, sf_dir):
     return hs.siblings(hs.discontinued(hs.purchases(br.history_with_specs(spark, sf_dir)), br.catalog_items(spark, sf_dir)))
 
 
-_PRIOR = f"""WITH {_CAT}, {_REQ}, {_HIST}, w AS (SELECT *, exp(-date_diff('day', d, (SELECT max(d) FROM hist)) / 180.0) AS weight FROM hist), {_PROFILE}, {_BUY}, {_SIBLING}, {_SHARES}, {_JOINED},
-pairs AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM joined WHERE customer_id IS NOT NULL AND (r_nominal IS NOT NULL OR r_type IS NOT NULL) AND {_SAME_MAT} AND {_SAME_FIN} AND {_SAME_STD} AND {_SAME_LEN}),
-scored AS (
+_WEIGHTS = f"w AS (SELECT *, exp(-date_diff('day', d, (SELECT max(d) FROM hist)) / 180.0) AS weight FROM hist), {_PROFILE}, {_BUY}, {_SIBLING}, {_SHARES}"
+_SCORED = f"""scored AS (
   SELECT p.*, lam, bought, last_order_date, sibling, (1 + 2 * CASE WHEN sibling IS NULL THEN coalesce(repeat, 0) ELSE greatest(coalesce(repeat, 0), 0.5) END)
     * CASE WHEN r_material IS NULL THEN coalesce(sm.share, 1) ELSE 1 END * CASE WHEN r_finish IS NULL THEN coalesce(sf.share, 1) ELSE 1 END * CASE WHEN r_nominal IS NULL THEN coalesce(st.share, 1) ELSE 1 END AS wt
   FROM pairs p LEFT JOIN profile f USING (customer_id) LEFT JOIN buy b ON b.customer_id = p.customer_id AND b.sku = p.sku
@@ -303,31 +305,42 @@ scored AS (
   LEFT JOIN share sm ON sm.customer_id = p.customer_id AND sm.attribute = 'material' AND sm.value = p.b_material
   LEFT JOIN share sf ON sf.customer_id = p.customer_id AND sf.attribute = 'finish' AND sf.value = p.b_finish
   LEFT JOIN share st ON st.customer_id = p.customer_id AND st.attribute = 'threadSystem' AND st.value = p.b_system),
-priors AS (SELECT *, coalesce(lam, 0) * wt / sum(wt) OVER (PARTITION BY request_id) + (1 - coalesce(lam, 0)) / n AS prior FROM scored)"""
+priors AS (SELECT *, coalesce(coalesce(lam, 0) * wt / sum(wt) OVER (PARTITION BY request_id), 0) + (1 - coalesce(lam, 0)) / n AS prior FROM scored)"""
+_PRIOR = f"""WITH {_CAT}, {_REQ}, {_HIST}, {_WEIGHTS}, {_JOINED},
+pairs AS (SELECT *, CAST({_CREDIT} AS DOUBLE) AS credit, count(*) OVER (PARTITION BY request_id) AS n FROM joined WHERE customer_id IS NOT NULL AND (r_nominal IS NOT NULL OR r_type IS NOT NULL) AND {_SAME_MAT} AND {_SAME_FIN} AND {_SAME_STD} AND {_SAME_LEN}),
+{_SCORED}"""
 
 
-def _personal(spark, sf_dir) -> DataFrame:
+def _personal(spark, sf_dir) -> hs.Personal:
     m = _Matched(spark, sf_dir)
-    lines = kept(br.history_with_specs(spark, sf_dir))
+    known = hs.Customers.of(kept(br.history_with_specs(spark, sf_dir)), m.items, keep=kept)
     asked = m.asked.where("customer_id IS NOT NULL AND (q_nominal IS NOT NULL OR size(q_types) > 0)")
-    known = hs.Customers.of(lines, m.items, keep=kept)
-    asked = hs.with_profile(asked.select("request_id", "customer_id", "class_key", "limit"), known)
-    found = hs.prior(asked.join(mt.compatible(m.rows).select(*hs.CANDIDATE), "class_key"), known)
-    return hs.personal_reasons(kept(found), known)
+    return hs.Personal.of(asked.select("request_id", "customer_id", "class_key", "limit", *hs.STATED), mt.compatible(m.rows).select(*hs.CANDIDATE), known, keep=kept)
 
 
 @query(f"{_PRIOR} SELECT request_id, sku, round(prior, 6) AS prior FROM priors")
 def history_prior(spark, sf_dir):
-    return _personal(spark, sf_dir).select("request_id", "sku", F.round("prior", 6).alias("prior"))
+    return _personal(spark, sf_dir).scored().select("request_id", "sku", F.round("prior", 6).alias("prior"))
 
 
-@query(f"""{_PRIOR}, posts AS (SELECT *, 0.98 * prior / (0.98 * sum(prior) OVER (PARTITION BY request_id) + 0.02 * pow(3.0, r_residue)) AS p FROM priors)
+@query(f"""{_PRIOR}, posts AS (SELECT *, 0.98 * prior * credit / (0.98 * sum(prior * credit) OVER (PARTITION BY request_id) + 0.02 * pow(3.0, r_residue)) AS p FROM priors),
+best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(p, 9) DESC, sku) AS place FROM posts) SELECT request_id, sku, place, round(p, 6) AS confidence FROM best WHERE place <= 10""")
+def personal_topk(spark, sf_dir):
+    """The ten best items of each request with a customer, found from cells."""
+    own = _personal(spark, sf_dir)
+    p = mt.posterior(F.col("prior") * F.col("credit"), F.col("total"), F.col("q_residue"))
+    best = mt.top(own.scored(own.candidates(10)).withColumn("p", F.round(p, 9)), ["request_id"], [F.desc("p"), F.asc("sku")], 10)
+    return best.select("request_id", "sku", F.col("rank").cast("long").alias("place"), F.round("p", 6).alias("confidence"))
+
+
+@query(f"""{_PRIOR}, posts AS (SELECT *, 0.98 * prior * credit / (0.98 * sum(prior * credit) OVER (PARTITION BY request_id) + 0.02 * pow(3.0, r_residue)) AS p FROM priors)
 SELECT request_id, round(max(p), 6) AS best, round(sum(p), 6) AS mass, count(*) AS items FROM posts GROUP BY 1""")
 def posterior_history(spark, sf_dir):
-    rows = kept(_personal(spark, sf_dir))
-    total = rows.groupBy("request_id").agg(F.sum(F.col("prior") * F.col("credit")).alias("total"))
-    p = mt.posterior(F.col("prior") * F.col("credit"), F.col("total"), F.col("q_residue"))
-    return rows.join(total, "request_id").withColumn("p", p).groupBy("request_id").agg(F.round(F.max("p"), 6).alias("best"), F.round(F.sum("p"), 6).alias("mass"), F.count(F.lit(1)).alias("items"))
+    own = _personal(spark, sf_dir)
+    residue = own.asked.select("request_id", "q_residue")
+    p = mt.posterior(F.col("high"), F.col("total"), F.col("q_residue"))
+    mass = mt.posterior(F.col("total"), F.col("total"), F.col("q_residue"))
+    return own.extremes().join(own.totals, "request_id").join(residue, "request_id").select("request_id", F.round(p, 6).alias("best"), F.round(mass, 6).alias("mass"), F.col("n_all").alias("items"))
 
 
 _NAME_M = "(CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.MATERIAL_NAMES.items()) + " END)"
@@ -336,14 +349,15 @@ _NAME_F = "(CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.FIN
 
 @query(f"""{_PRIOR}, pref AS (SELECT customer_id, arg_min(value, (-share, value)) FILTER (WHERE attribute = 'material') AS pm, arg_min(value, (-share, value)) FILTER (WHERE attribute = 'finish') AS pfin FROM share GROUP BY 1),
 r AS (SELECT priors.*, pm, pfin, max(b_material = pm) OVER (PARTITION BY request_id) AS has_m, max(b_finish = pfin) OVER (PARTITION BY request_id) AS has_f,
-  coalesce(r_material <> pm, FALSE) AS over_m, coalesce(r_finish <> pfin, FALSE) AS over_f FROM priors LEFT JOIN pref USING (customer_id))
+  coalesce(r_material <> pm AND NOT (r_material = 'stainless' AND {_MATERIAL_FAMILY.format("pm")} = 'stainless'), FALSE) AS over_m, coalesce(r_finish <> pfin, FALSE) AS over_f FROM priors LEFT JOIN pref USING (customer_id))
 SELECT request_id, sku, CASE WHEN lam IS NULL THEN NULL WHEN over_m OR over_f THEN concat('history prefers ', {_NAME_M.format("pm")}, ' ', {_NAME_F.format("pfin")}, '; overridden by the query')
   WHEN bought IS NOT NULL THEN concat('bought ', bought, 'x, last ', last_order_date) WHEN sibling IS NOT NULL THEN concat('shares diameter, type and material family with ', sibling)
   WHEN NOT over_m AND NOT has_m THEN concat('no ', {_NAME_M.format("pm")}, ' in the compatible set; material could not be matched')
   WHEN NOT over_f AND NOT has_f THEN concat('no ', {_NAME_F.format("pfin")}, ' in the compatible set; finish could not be matched')
   ELSE concat('history prefers ', {_NAME_M.format("pm")}, ' ', {_NAME_F.format("pfin")}) END AS reason FROM r""")
 def personal_reasons(spark, sf_dir):
-    return _personal(spark, sf_dir).select("request_id", "sku", "reason")
+    own = _personal(spark, sf_dir)
+    return hs.personal_reasons(own.scored(), own.known, among=own.cells()).select("request_id", "sku", "reason")
 
 
 def _referenced(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -351,10 +365,11 @@ def _referenced(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return hs.routed(kept(asked), kept(br.history_with_specs(spark, sf_dir)))
 
 
-_REF = f"""WITH {_CAT}, {_HIST}, ref AS (SELECT * FROM ({br.REFERENCES}) x),
+_PLACED = f"""ref AS (SELECT * FROM ({br.REFERENCES}) x),
 agree AS (SELECT request_id, form, h.* FROM ref JOIN hist h USING (customer_id) WHERE CASE form WHEN 0 THEN b_type IN ('flat_washer', 'lock_washer') WHEN 2 THEN b_type = 'hex_cap_screw' ELSE b_type = 'hex_nut' END),
 latest AS (SELECT *, min(line_no) OVER (PARTITION BY request_id, sku) AS first_line, row_number() OVER (PARTITION BY request_id, sku ORDER BY order_date DESC, line_no) AS pick FROM agree),
 placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY order_date DESC, first_line) - 1 AS place FROM latest WHERE pick = 1)"""
+_REF = f"WITH {_CAT}, {_HIST}, {_PLACED}"
 
 
 @query(f"{_REF} SELECT request_id, sku, place, order_date, quantity, round(0.7 * pow(0.8, place), 6) AS confidence FROM placed")
@@ -390,17 +405,18 @@ def formatted_names(spark, sf_dir):
 # --- Whole answers ---
 
 
-@query(f"""{_MATCH}, {_COUNTS}, {_STEPS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sku) AS place FROM pairs),
-best AS (SELECT request_id, min(sku) AS top_sku, count(*) AS shown FROM ranked WHERE place <= "limit" GROUP BY 1),
-alts AS (SELECT request_id, count(*) AS near, min(CASE WHEN place = 1 THEN sku END) AS first_alternative FROM (SELECT near.*, CASE WHEN c.n IS NULL THEN near."limit" ELSE near."limit" - c.n END AS room FROM near JOIN (SELECT request_id, n FROM counts) c USING (request_id)) x WHERE place <= room GROUP BY 1)
-SELECT request_id, {_STATUS} AS status, coalesce(n, 0) AS compatible_count, top_sku, coalesce(shown, 0) AS shown, coalesce(near, 0) AS near, first_alternative,
-  concat(CASE WHEN n IS NULL THEN 'failedConstraint,' ELSE '' END, CASE WHEN r_residue = 1 THEN 'unverifiedResidue,' ELSE '' END, CASE WHEN n > 1 THEN 'tiedSet,' ELSE '' END) AS notes
-FROM counts LEFT JOIN best USING (request_id) LEFT JOIN alts USING (request_id) WHERE customer_id IS NULL""")
+@query(f"""{_MATCH}, {_COUNTS}, {_STEPS}, {_RANKED},
+best AS (SELECT request_id, CASE WHEN r_nominal IS NOT NULL OR r_type IS NOT NULL THEN string_agg(sku, ',' ORDER BY place) END AS skus, count(*) AS shown, bool_and(even) AS even FROM ranked WHERE place <= "limit" GROUP BY request_id, r_nominal, r_type),
+alts AS (SELECT request_id, count(*) AS near, min(CASE WHEN place = 1 THEN sku END) AS first_alternative FROM (SELECT near.*, c.n, CASE WHEN c.n IS NULL THEN near."limit" ELSE near."limit" - c.n END AS room FROM near JOIN (SELECT request_id, n FROM counts) c USING (request_id)) x WHERE place <= room AND (n IS NULL OR r_nominal IS NOT NULL OR r_type IS NOT NULL) GROUP BY 1)
+SELECT request_id, {_STATUS} AS status, coalesce(n, 0) AS compatible_count, skus, coalesce(shown, 0) AS shown, coalesce(near, 0) AS near, first_alternative,
+  concat(CASE WHEN n IS NULL THEN 'failedConstraint,' ELSE '' END, CASE WHEN r_residue = 1 THEN 'unverifiedResidue,' ELSE '' END, CASE WHEN n > 1 AND even AND (r_nominal IS NOT NULL OR r_type IS NOT NULL) THEN 'tiedSet,' ELSE '' END) AS notes
+FROM counts LEFT JOIN best USING (request_id) LEFT JOIN alts USING (request_id)""")
 def match_responses(spark, sf_dir):
-    """The requests without a customer: their whole answers."""
-    out = _engine(spark, sf_dir).match(br.requests(spark, sf_dir).where("customer_id IS NULL"))
+    """Every request's whole answer, by an engine without a history (the SKUs of lexical answers are bm25_ranked's)."""
+    out = _engine(spark, sf_dir).match(br.requests(spark, sf_dir))
+    skus = F.when(F.col("status").isin("unique", "ambiguous"), F.array_join("results.sku", ","))
     notes = F.concat(F.array_join("notes.code", ","), F.when(F.size("notes") > 0, ",").otherwise(""))
-    return out.select("request_id", "status", "compatible_count", F.get(F.col("results"), F.lit(0))["sku"].alias("top_sku"), F.size("results").cast("long").alias("shown"), F.size("alternatives").cast("long").alias("near"), F.get(F.col("alternatives"), F.lit(0))["sku"].alias("first_alternative"), notes.alias("notes"))
+    return out.select("request_id", "status", "compatible_count", skus.alias("skus"), F.size("results").cast("long").alias("shown"), F.size("alternatives").cast("long").alias("near"), F.get(F.col("alternatives"), F.lit(0))["sku"].alias("first_alternative"), notes.alias("notes"))
 
 
 _BY = "(SELECT request_id, list_filter([" + ", ".join(f"CASE WHEN count(DISTINCT coalesce(CAST({c} AS VARCHAR), '')) > 1 THEN '{a}' END" for a, c in (("diameter", "b_nominal"), ("pitch", "CASE WHEN k % 2 = 0 THEN b_pitch END"), ("length", "b_mm"), ("type", "b_type"), ("material", "b_material"), ("finish", "b_finish"), ("standard", "b_standard"))) + "], lambda x: x IS NOT NULL) AS words FROM pairs GROUP BY 1) d"
@@ -410,49 +426,74 @@ _BY = "(SELECT request_id, list_filter([" + ", ".join(f"CASE WHEN count(DISTINCT
   CASE WHEN n = 1 THEN 'Exactly one catalog item satisfies this query.' WHEN len(words) = 0 THEN 'No further attribute would separate these options.'
     ELSE concat('Specify ', CASE WHEN len(words) = 1 THEN words[1] ELSE concat(array_to_string(words[1:-2], ', '), ' or ', words[-1]) END, ' to narrow these down.') END AS sentence,
   CAST(CASE WHEN n > 1 THEN greatest(least(n, 10) - least(n, "limit"), 0) ELSE 0 END AS BIGINT) AS more
-FROM counts JOIN {_BY} USING (request_id) WHERE customer_id IS NULL AND n > 0 AND (r_nominal IS NOT NULL OR r_type IS NOT NULL)""")
+FROM counts JOIN {_BY} USING (request_id) WHERE n > 0 AND (r_nominal IS NOT NULL OR r_type IS NOT NULL)""")
 def display_sentences(spark, sf_dir):
-    out = dp.displayed(_engine(spark, sf_dir).match(br.requests(spark, sf_dir).where("customer_id IS NULL")))
+    out = dp.displayed(_engine(spark, sf_dir).match(br.requests(spark, sf_dir)))
     return out.where("status IN ('unique', 'ambiguous')").select("request_id", "headline", "sentence", F.col("more").cast("long").alias("more"))
 
 
 @query(f"""
 WITH {_CAT}, {_REQ}, t AS (SELECT sku, unnest(string_split(lower(description), ' ')) AS term FROM act), tf AS (SELECT sku, term, count(*) AS tf FROM t GROUP BY 1, 2),
 dl AS (SELECT sku, sum(tf) AS dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-q AS (SELECT request_id, unnest(string_split(replace(query, 'please quote 20 pcs of ', ''), ' ')) AS term FROM req),
+q AS (SELECT request_id, unnest(string_split(coalesce(r_words, query), ' ')) AS term FROM req),
 s AS (SELECT request_id, sku, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN dl USING (sku) JOIN df USING (term) CROSS JOIN c GROUP BY 1, 2),
 r AS (SELECT request_id, count(*) AS hits, list(score ORDER BY score DESC) AS best FROM s GROUP BY 1)
 SELECT request_id, coalesce(hits, 0) AS compatible_count, CASE WHEN hits IS NULL THEN 'none' WHEN hits = 1 OR 1 - best[2] / best[1] >= 0.01 THEN 'unique' ELSE 'ambiguous' END AS status
 FROM req LEFT JOIN r USING (request_id)""")
 def lexical_control(spark, sf_dir):
-    answers, _ = lx.lexical_only(br.requests(spark, sf_dir), kept(br.catalog_items(spark, sf_dir)))
+    items = kept(br.catalog_items(spark, sf_dir))
+    answers, _ = lx.lexical_only(br.requests(spark, sf_dir), items, indexed=lx.index(items, keep=kept))
     return answers.select("request_id", "compatible_count", "status")
 
 
-@query()
+#: Every request that is matched, as REQUESTS has them: plain ones, references without an earlier line, and earlier lines with what is asked of them now.
+_ASKS = f"""{_PLACED}, based AS (SELECT r.request_id, r.customer_id, r."limit", r.form, p.sku AS base, p.b_nominal, p.b_system, p.b_type, p.b_mm, p.b_finish FROM ref r LEFT JOIN (SELECT * FROM placed WHERE place = 0) p USING (request_id)),
+req AS (SELECT request_id, customer_id, "limit", 'plain' AS form, r_nominal, r_system, r_type, r_type2, r_type3, r_ts, r_ts3, r_ms, r_mm, r_standard, r_material, r_finish, r_residue FROM ({br.REQUESTS}) y
+  UNION ALL SELECT request_id + 10000000, customer_id, "limit", CASE WHEN base IS NULL THEN 'unresolved' ELSE 'override' END, b_nominal, b_system,
+    CASE form WHEN 0 THEN 'flat_washer' WHEN 2 THEN 'hex_cap_screw' ELSE 'hex_nut' END, CASE form WHEN 0 THEN 'lock_washer' END, NULL, CASE form WHEN 0 THEN 0.6 ELSE 1.0 END, 0.4, 1.0, b_mm, NULL,
+    CASE form WHEN 2 THEN 'brass' WHEN 3 THEN 'ss_316' END, CASE WHEN form = 3 THEN 'plain' ELSE b_finish END, CASE form WHEN 1 THEN 0 ELSE 1 END FROM based WHERE base IS NULL OR form >= 2)"""
+_ROOM = 'CASE WHEN c.n IS NULL THEN near."limit" ELSE near."limit" - c.n END'
+
+
+@query(f"""WITH {_CAT}, {_HIST}, {_ASKS}, {_WEIGHTS}, {_JOINED}, {_PAIRS}, {_COUNTS}, {_STEPS}, {_SCORED},
+posts AS (SELECT *, prior * credit AS worth, 0.98 * prior * credit / (0.98 * sum(prior * credit) OVER (PARTITION BY request_id) + 0.02 * pow(3.0, r_residue)) AS p FROM priors WHERE r_nominal IS NOT NULL OR r_type IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(p, 9) DESC, sku) AS place, max(worth) OVER (PARTITION BY request_id) - min(worth) OVER (PARTITION BY request_id) <= 1e-9 * max(worth) OVER (PARTITION BY request_id) AS even FROM posts),
+best AS (SELECT request_id, string_agg(sku, ',' ORDER BY place) AS skus, round(max(p), 6) AS confidence, bool_and(even) AS even FROM ranked WHERE place <= "limit" GROUP BY 1),
+alts AS (SELECT request_id, string_agg(sku, ',' ORDER BY place) AS near FROM (SELECT near.*, c.n, {_ROOM} AS room FROM near JOIN (SELECT request_id, n FROM counts) c USING (request_id)) x WHERE place <= room AND (n IS NULL OR r_nominal IS NOT NULL OR r_type IS NOT NULL) GROUP BY 1),
+gone AS (SELECT request_id, count(DISTINCT sku) AS n_gone FROM req JOIN (SELECT * FROM buy WHERE NOT active) b USING (customer_id) WHERE (r_nominal IS NULL OR r_nominal = b_nominal) AND (r_type IS NULL OR b_type = r_type OR coalesce(b_type IN (r_type2, r_type3), FALSE)) GROUP BY 1)
+SELECT request_id, {_STATUS} AS status, coalesce(n, 0) AS compatible_count, skus, confidence, coalesce(near, '') AS alternatives,
+  concat(CASE WHEN n IS NULL THEN 'failedConstraint,' ELSE '' END, CASE WHEN r_residue = 1 THEN 'unverifiedResidue,' ELSE '' END, CASE WHEN n > 1 AND even THEN 'tiedSet,' ELSE '' END, CASE WHEN form <> 'plain' THEN 'historyReference,' ELSE '' END, repeat('discontinued,', coalesce(n_gone, 0))) AS notes
+FROM counts LEFT JOIN best USING (request_id) LEFT JOIN alts USING (request_id) LEFT JOIN gone USING (request_id)
+UNION ALL SELECT request_id + 10000000, 'history', 0, string_agg(sku, ',' ORDER BY place), 0.7, '', CASE WHEN min(placed.form) = 0 THEN 'unverifiedResidue,' ELSE '' END
+FROM placed WHERE form < 2 AND place < 5 GROUP BY request_id""")
 def match_with_history(spark, sf_dir):
-    """Every request with its customer: the whole answer, references included."""
+    """Every request with its customer: the whole answer, references included (the SKUs of lexical answers are bm25_scores's)."""
     asked = br.requests(spark, sf_dir).unionByName(br.requests(spark, sf_dir, references=True).withColumn("request_id", F.col("request_id") + 10_000_000))
     out = _engine(spark, sf_dir, history=True).match(asked)
-    return out.select("request_id", "status", "compatible_count", F.to_json("results").alias("results"), F.to_json("alternatives").alias("alternatives"), F.to_json("notes").alias("notes"))
+    told = F.col("status").isin("unique", "ambiguous", "history")
+    notes = F.concat(F.array_join("notes.code", ","), F.when(F.size("notes") > 0, ",").otherwise(""))
+    first = F.round(F.get(F.col("results"), F.lit(0))["confidence"], 6)
+    return out.select("request_id", "status", "compatible_count", F.when(told, F.array_join("results.sku", ",")).alias("skus"), F.when(told, first).alias("confidence"), F.array_join("alternatives.sku", ",").alias("alternatives"), notes.alias("notes"))
 
 
 # --- Evaluation: every part's request labelled with the part's own SKU ---
 
-_SEEN = """best AS (SELECT request_id, sku, row_number() OVER (PARTITION BY request_id ORDER BY sku) AS place, n FROM pairs),
+_SEEN = """best AS (SELECT request_id, sku, row_number() OVER (PARTITION BY request_id ORDER BY round(credit, 9) DESC, sku) AS place, n FROM pairs),
 label AS (SELECT k AS request_id, sku AS intended FROM cat), hit AS (SELECT label.request_id, intended, place FROM label JOIN req USING (request_id) LEFT JOIN best ON best.request_id = label.request_id AND best.sku = intended)"""
 
 
 def _outcomes(spark, sf_dir) -> DataFrame:
-    """request_id, intended, expected, expected_status, status, skus (whole ranking), confidence."""
+    """request_id, intended, expected_status, status, place, first, returned, hits, wanted, confidence."""
     m = _Matched(spark, sf_dir)
     summed = kept(m.summary)
-    full = mt.ranked_without_customer(m.rows, summed, most=1 << 30)
-    lists = full.groupBy("class_key").agg(F.sort_array(F.collect_list(F.struct("rank", "sku", "confidence"))).alias("ranked"))
+    full = kept(mt.ranked_without_customer(m.rows, summed, most=1 << 30))
+    first = full.where("rank = 1").select("class_key", F.col("sku").alias("first"), "confidence")
     labels = first_by(br.catalog(spark, sf_dir), ["sku"], [F.col("line_no")]).select(F.col("line_no").alias("request_id"), F.col("sku").alias("intended"))
-    out = m.by_request(summed.join(lists, "class_key", "left"), "q_mm").join(labels, "request_id")
-    expected = F.when(F.col("request_id") % 8 == 6, "unparsed").when(F.col("request_id") % 8 == 4, "unique").otherwise("ambiguous")
-    return out.select("request_id", "intended", expected.alias("expected_status"), "status", F.coalesce("ranked.sku", F.array().cast("array<string>")).alias("skus"), F.get("ranked.confidence", F.lit(0)).alias("confidence"), F.array("intended").alias("expected"))
+    out = m.by_request(summed.join(first, "class_key", "left")).join(labels, "request_id")
+    out = out.join(full.select("class_key", F.col("sku").alias("intended"), F.col("rank").alias("place")), ["class_key", "intended"], "left")
+    expected = F.when(F.col("request_id") % 12 == 6, "unparsed").when(F.col("request_id") % 12 == 4, "unique").otherwise("ambiguous")
+    hits = F.when(F.col("place").isNull(), 0).otherwise(1)
+    return out.select("request_id", "intended", expected.alias("expected_status"), "status", "place", "first", F.col("compatible_count").alias("returned"), hits.alias("hits"), F.lit(1).alias("wanted"), "confidence")
 
 
 @query(f"""{_MATCH}, {_SEEN} SELECT count(*) AS cases, round(avg(CAST(coalesce(place = 1, FALSE) AS INT)), 6) AS hit1, round(avg(CAST(coalesce(place <= 3, FALSE) AS INT)), 6) AS hit3, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr FROM hit""")
@@ -460,7 +501,7 @@ def eval_retrieval(spark, sf_dir):
     return ev.retrieval(_outcomes(spark, sf_dir))
 
 
-_EXPECTED = "CASE WHEN request_id % 8 = 6 THEN 'unparsed' WHEN request_id % 8 = 4 THEN 'unique' ELSE 'ambiguous' END"
+_EXPECTED = "CASE WHEN request_id % 12 = 6 THEN 'unparsed' WHEN request_id % 12 = 4 THEN 'unique' ELSE 'ambiguous' END"
 _ALL = "(SELECT unnest(['unique', 'ambiguous', 'none', 'history', 'unparsed']))"
 
 
@@ -478,7 +519,7 @@ def eval_set_recovery(spark, sf_dir):
     return ev.set_recovery(_outcomes(spark, sf_dir))
 
 
-@query(f"""{_MATCH}, top1 AS (SELECT request_id, sku, {_P} AS p, row_number() OVER (PARTITION BY request_id ORDER BY sku) AS place, n, r_nominal, r_type FROM pairs),
+@query(f"""{_MATCH}, {_RANKED}, top1 AS (SELECT request_id, sku, {_P} AS p, place, n, r_nominal, r_type FROM ranked),
 b AS (SELECT least(9, CAST(floor(p * 10) AS INT)) AS bin, count(*) AS cases, count(*) FILTER (WHERE cat.k = request_id) AS hits FROM top1 JOIN cat USING (sku) WHERE place = 1 AND (top1.r_nominal IS NOT NULL OR top1.r_type IS NOT NULL) GROUP BY 1)
 SELECT i AS bin, round(i / 10.0, 1) AS lower, round((i + 1) / 10.0, 1) AS upper, coalesce(cases, 0) AS cases, round(hits * 1.0 / cases, 6) AS precision FROM (SELECT unnest(range(10)) AS i) r LEFT JOIN b ON bin = i""")
 def eval_calibration(spark, sf_dir):

@@ -1,18 +1,24 @@
 """Stage tables: results that later plans read more than once.
 
 They are written as Parquet under ``spark.checkpoint.dir``, the folder all executors
-share (a temporary one only where that is unset, as in tests): plans stay small, a lost
-executor costs a read, and the planner knows their sizes."""
+share (a temporary one only where that is unset under a local master, as in tests): plans
+stay small, a lost executor costs a read, and the planner knows their sizes.  A table lives
+until the innermost ``scope`` around its writing ends, or else until the interpreter does."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+Table = tuple[SparkSession, str]
+_written: list[Table] = []
+_scope: ContextVar[list[Table] | None] = ContextVar("scope", default=None)
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,6 +27,8 @@ def folder(spark: SparkSession) -> str:
         return given
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fastenlake-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get()
@@ -29,18 +37,35 @@ def folder(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/stage-{uuid.uuid4().hex}"
+    own = _scope.get()
+    (_written if own is None else own).append((spark, path))
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes the stage tables written inside at its end; what reads them must be done by then."""
+    own: list[Table] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for table in own:
+            _delete(*table)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def release() -> None:
     """Deletes the stage tables written so far; no plan over them can run afterwards."""
     while _written:
-        spark, path = _written.pop()
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_written.pop())
         except Exception:  # the session has ended; its folder goes with it
             return

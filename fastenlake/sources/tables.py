@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ HISTORY = "customer_id string, customer_name string, order_date string, sku stri
 CASES = "id string, query string, customerId string, expectedStatus string, expected array<string>, expectedTop1 string, expectedAlternatives array<string>, tags array<string>, rationale string"
 
 
+def find_data_dir(start: str = ".") -> str:
+    """The nearest folder `data` with a catalog.csv, in a local folder or above it."""
+    here = Path(start).resolve()
+    for folder in (here, *here.parents):
+        if (folder / "data" / "catalog.csv").is_file():
+            return str(folder / "data")
+    raise FileNotFoundError(f"no data/catalog.csv in {here} or above it")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Quoted CSV with a header; doubled quotes and line ends inside cells; a missing cell
     is the empty string.  `line_no` restates the file's order."""
