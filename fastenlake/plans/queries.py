@@ -224,7 +224,7 @@ WITH {_CAT}, t AS (SELECT sku, unnest(string_split(lower(description), ' ')) AS
 dl AS (SELECT sku, sum(tf) AS dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
 SELECT sku, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 6) AS weight FROM tf JOIN dl USING (sku) JOIN df USING (term) CROSS JOIN c""")
 def bm25_index(spark, sf_dir):
-    return lx.index(br.catalog_items(spark, sf_dir), keep=kept).select("sku", "term", F.round("weight", 6).alias("weight"))
+    return lx.index(kept(br.catalog_items(spark, sf_dir)), keep=kept).select("sku", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""
@@ -235,8 +235,9 @@ s AS (SELECT request_id, sku, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
 SELECT request_id, sku, place, round(score, 6) AS score, hits FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 6) DESC, sku) AS place, count(*) OVER (PARTITION BY request_id) AS hits FROM s) WHERE place <= 10""")
 def bm25_scores(spark, sf_dir):
     read = br.requests(spark, sf_dir).withColumn("spec", query_spec("query"))
-    bare = read.where("spec.diameter IS NULL AND spec.type IS NULL").select("request_id", lx.bag(lexical_tokens("query", correct=True)).alias("bag"))
-    found = lx.scores(bare.select("bag").distinct(), lx.index(br.catalog_items(spark, sf_dir), keep=kept))
+    # stored: the requests' long expressions would be inferred into every filter of the joins
+    bare = kept(read.where("spec.diameter IS NULL AND spec.type IS NULL").select("request_id", lx.bag(lexical_tokens("query", correct=True)).alias("bag")))
+    found = kept(lx.scores(bare.select("bag").distinct(), lx.index(kept(br.catalog_items(spark, sf_dir)), keep=kept)))
     hits = found.groupBy("bag").agg(F.count(F.lit(1)).alias("hits"))
     best = mt.top(found.withColumn("score", F.round("score", 6)), ["bag"], [F.desc("score"), F.asc("sku")], 10)
     return bare.join(best, "bag").join(hits, "bag").select("request_id", "sku", F.col("rank").cast("long").alias("place"), "score", "hits")
@@ -324,12 +325,12 @@ def history_prior(spark, sf_dir):
 
 
 @query(f"""{_PRIOR}, posts AS (SELECT *, 0.98 * prior * credit / (0.98 * sum(prior * credit) OVER (PARTITION BY request_id) + 0.02 * pow(3.0, r_residue)) AS p FROM priors),
-best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(p, 9) DESC, sku) AS place FROM posts) SELECT request_id, sku, place, round(p, 6) AS confidence FROM best WHERE place <= 10""")
+best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(p, 15) DESC, sku) AS place FROM posts) SELECT request_id, sku, place, round(p, 6) AS confidence FROM best WHERE place <= 10""")
 def personal_topk(spark, sf_dir):
     """The ten best items of each request with a customer, found from cells."""
     own = _personal(spark, sf_dir)
     p = mt.posterior(F.col("prior") * F.col("credit"), F.col("total"), F.col("q_residue"))
-    best = mt.top(own.scored(own.candidates(10)).withColumn("p", F.round(p, 9)), ["request_id"], [F.desc("p"), F.asc("sku")], 10)
+    best = mt.top(own.scored(own.candidates(10)).withColumn("p", p), ["request_id"], [F.desc(F.round("p", 15)), F.asc("sku")], 10)
     return best.select("request_id", "sku", F.col("rank").cast("long").alias("place"), F.round("p", 6).alias("confidence"))
 
 
@@ -442,7 +443,7 @@ SELECT request_id, coalesce(hits, 0) AS compatible_count, CASE WHEN hits IS NULL
 FROM req LEFT JOIN r USING (request_id)""")
 def lexical_control(spark, sf_dir):
     items = kept(br.catalog_items(spark, sf_dir))
-    answers, _ = lx.lexical_only(br.requests(spark, sf_dir), items, indexed=lx.index(items, keep=kept))
+    answers, _ = lx.lexical_only(kept(br.requests(spark, sf_dir)), items, indexed=lx.index(items, keep=kept))
     return answers.select("request_id", "compatible_count", "status")
 
 
@@ -457,7 +458,7 @@ _ROOM = 'CASE WHEN c.n IS NULL THEN near."limit" ELSE near."limit" - c.n END'
 
 @query(f"""WITH {_CAT}, {_HIST}, {_ASKS}, {_WEIGHTS}, {_JOINED}, {_PAIRS}, {_COUNTS}, {_STEPS}, {_SCORED},
 posts AS (SELECT *, prior * credit AS worth, 0.98 * prior * credit / (0.98 * sum(prior * credit) OVER (PARTITION BY request_id) + 0.02 * pow(3.0, r_residue)) AS p FROM priors WHERE r_nominal IS NOT NULL OR r_type IS NOT NULL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(p, 9) DESC, sku) AS place, max(worth) OVER (PARTITION BY request_id) - min(worth) OVER (PARTITION BY request_id) <= 1e-9 * max(worth) OVER (PARTITION BY request_id) AS even FROM posts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(p, 15) DESC, sku) AS place, max(worth) OVER (PARTITION BY request_id) - min(worth) OVER (PARTITION BY request_id) <= 1e-9 * max(worth) OVER (PARTITION BY request_id) AS even FROM posts),
 best AS (SELECT request_id, string_agg(sku, ',' ORDER BY place) AS skus, round(max(p), 6) AS confidence, bool_and(even) AS even FROM ranked WHERE place <= "limit" GROUP BY 1),
 alts AS (SELECT request_id, string_agg(sku, ',' ORDER BY place) AS near FROM (SELECT near.*, c.n, {_ROOM} AS room FROM near JOIN (SELECT request_id, n FROM counts) c USING (request_id)) x WHERE place <= room AND (n IS NULL OR r_nominal IS NOT NULL OR r_type IS NOT NULL) GROUP BY 1),
 gone AS (SELECT request_id, count(DISTINCT sku) AS n_gone FROM req JOIN (SELECT * FROM buy WHERE NOT active) b USING (customer_id) WHERE (r_nominal IS NULL OR r_nominal = b_nominal) AND (r_type IS NULL OR b_type = r_type OR coalesce(b_type IN (r_type2, r_type3), FALSE)) GROUP BY 1)
