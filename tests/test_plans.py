@@ -4,6 +4,7 @@ import pytest
 
 from fastenlake.functions.parse import query_spec
 from fastenlake.operators import history as hs
+from fastenlake.operators import lexical as lx
 from fastenlake.operators import matching as mt
 from fastenlake.plans.engine import REQUEST
 from fastenlake.sources import tables as st
@@ -45,3 +46,18 @@ def test_sums_are_combined_before_the_exchange(spark):
     lines = spark.createDataFrame([("C1", "n", "2026-01-01", "S", "d", 1.0, 1)], "customer_id string, customer_name string, order_date string, sku string, description string, quantity double, line_no long")
     text = plan(hs.latest_date(lines))
     assert "partial_max" in text
+
+
+def test_the_control_scores_equal_texts_once(spark, no_broadcast):
+    rows = [(f"c{i}", f"S{i:03}", f"M8 HEX NUT {'STEEL' if i < 60 else 'BRASS'} PLAIN", True, i) for i in range(61)]
+    items = st.items(spark.createDataFrame(rows, "catalog_id string, sku string, description string, active boolean, line_no long"))
+    made = []
+
+    def keep(df):
+        made.append(df.cache())
+        return made[-1]
+
+    answers, hits = lx.lexical_only(spark.createDataFrame([(1, "steel nut", None, 3), (2, "brass nut", None, 3), (3, "brass", None, 3)], REQUEST), items, keep=keep)
+    assert sorted(answers.select("request_id", "compatible_count", "status").collect()) == [(1, 61, "ambiguous"), (2, 61, "unique"), (3, 1, "unique")]
+    assert sorted((r["sku"], r["rank"]) for r in hits.where("request_id = 1").collect()) == [("S000", 1), ("S001", 2), ("S002", 3)]
+    assert max(df.count() for df in made) <= 10
