@@ -6,7 +6,7 @@ from fastenlake.functions.parse import query_spec
 from fastenlake.operators import history as hs
 from fastenlake.operators import lexical as lx
 from fastenlake.operators import matching as mt
-from fastenlake.plans.engine import REQUEST
+from fastenlake.plans.engine import REQUEST, Engine
 from fastenlake.sources import tables as st
 
 
@@ -61,3 +61,25 @@ def test_the_control_scores_equal_texts_once(spark, no_broadcast):
     assert sorted(answers.select("request_id", "compatible_count", "status").collect()) == [(1, 61, "ambiguous"), (2, 61, "unique"), (3, 1, "unique")]
     assert sorted((r["sku"], r["rank"]) for r in hits.where("request_id = 1").collect()) == [("S000", 1), ("S001", 2), ("S002", 3)]
     assert max(df.count() for df in made) <= 10
+
+
+def test_classes_meet_kinds_of_items(spark, monkeypatch):
+    rows = [(f"c{i}", f"S{i:03}", f"M8 HEX NUT {m} PLAIN", True, i) for i, m in enumerate(["STEEL", "BRASS", "BRASS"] * 20)]
+    items = st.items(spark.createDataFrame(rows, "catalog_id string, sku string, description string, active boolean, line_no long"))
+    joined, judged = [], mt.judged
+    monkeypatch.setattr(mt, "judged", lambda df, *c: joined.append(df.count()) or judged(df, *c))
+    asked = spark.createDataFrame([(1, "M8 nut", None, 3), (2, "brass", None, 2), (3, "M8 brass nut din 912", None, 4), (4, "M8 nut", None, 5)], REQUEST)
+    got = {r["request_id"]: r for r in Engine(items).match(asked).collect()}
+    assert joined == [6]  # 3 classes, 2 kinds
+    assert [(r["status"], r["compatible_count"]) for _, r in sorted(got.items())] == [("ambiguous", 60), ("unparsed", 40), ("none", 0), ("ambiguous", 60)]
+    skus = {k: [x["sku"] for x in r["results"] or r["alternatives"]] for k, r in got.items()}
+    assert skus == {1: ["S000", "S001", "S002"], 2: ["S001", "S002"], 3: ["S001", "S002", "S004", "S005"], 4: ["S000", "S001", "S002", "S003", "S004"]}
+    assert got[1]["disambiguate_by"] == ["material"]
+
+
+def test_lists_of_a_kind_are_bounded_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(mt, "CHUNK", 10)
+    listed = spark.range(205).selectExpr("if(id < 5, 'a', 'b') AS kind", "concat('S', id) AS sku")
+    made = mt.lists(listed).collect()
+    assert sorted(s for r in made for s in r["skus"]) == sorted(f"S{i}" for i in range(205))
+    assert len(made) > 15 and max(len(r["skus"]) for r in made) <= 30
