@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,8 +48,13 @@ def latest_date(lines: DataFrame) -> DataFrame:
 
 def slim(lines: DataFrame, *others: str) -> DataFrame:
     """What Customers.of(), and referenced_lines() beside others, read of lines."""
+    return slim_spec(lines).select("customer_id", "order_date", "sku", "line_no", "spec", *others)
+
+
+def slim_spec(lines: DataFrame) -> DataFrame:
+    """lines with what is read of an earlier order's spec."""
     s = F.col("spec")
-    return lines.select("customer_id", "order_date", "sku", "line_no", F.when(s.isNotNull(), F.struct(*[s[a].alias(a) for a in ("diameter", "pitch", "type", "material", "finish")])).alias("spec"), *others)
+    return lines.withColumn("spec", F.when(s.isNotNull(), F.struct(*[s[a].alias(a) for a in ("diameter", "pitch", "type", "material", "finish")])))
 
 
 def weighted(lines: DataFrame, config: vocab.Config = vocab.DEFAULT, every: DataFrame | None = None) -> DataFrame:
@@ -80,18 +86,28 @@ def shares(lines: DataFrame, config: vocab.Config = vocab.DEFAULT, profiled: Dat
     return total.join(profiled.select("customer_id", "n_eff"), "customer_id").select("customer_id", "attribute", "value", ((F.col("mass") + config.alpha) / (F.col("n_eff") + config.alpha * size)).alias("share"))
 
 
-def profiled_shares(lines: DataFrame, config: vocab.Config = vocab.DEFAULT) -> DataFrame:
+def profiled_shares(lines: DataFrame, config: vocab.Config = vocab.DEFAULT, specs: DataFrame | None = None) -> DataFrame:
     """profiles() with the values of shares() as maps share_material, share_finish and
-    share_threadSystem.  A customer's lines meet once, as a few words and a weight."""
+    share_threadSystem.  A customer's lines meet once, as a few words and a weight, or as
+    numbers whose specs (said, spec) come in afterwards."""
     s = F.col("spec")
-    said = {"material": s["material"]["value"], "finish": s["finish"]["value"], "threadSystem": s["diameter"]["system"]}
+    values = {"material": s["material"]["value"], "finish": s["finish"]["value"], "threadSystem": s["diameter"]["system"]}
     age = F.datediff(F.to_date("reference_date"), F.to_date("order_date"))
-    dated = lines.crossJoin(F.broadcast(latest_date(lines))).select("customer_id", F.when(s.isNotNull(), F.exp(-age / config.tau_days)).alias("weight"), *[v.alias(a) for a, v in said.items()])
-    by = dated.repartition("customer_id")
+
+    def dated(of: DataFrame) -> DataFrame:
+        return of.crossJoin(F.broadcast(latest_date(lines))).select("customer_id", F.when(s.isNotNull(), F.exp(-age / config.tau_days)).alias("weight"), *[v.alias(a) for a, v in values.items()])
+
     mass = {(a, v): F.sum(F.when(F.col(a) == v, F.col("weight"))) for a, vs in SHARES.items() for v in vs}
+    if specs is None:
+        every = dated(lines)
+        by = every.repartition("customer_id")
+    else:
+        by = dated(lines.select("customer_id", "order_date", "said").repartition("customer_id").join(specs, "said", "left"))
+        strange = reduce(lambda a, b: a | b, [yes(~v.isin(SHARES[a])) for a, v in values.items()])
+        every = dated(lines.join(small(specs.where(strange)), "said"))
     summed = by.groupBy("customer_id").agg(F.sum("weight").alias("__n"), *[m.alias(f"{a}:{v}") for (a, v), m in mass.items()])
     # values that the vocabulary lacks: none where descriptions are parsed by it
-    odd = dated.select("customer_id", "weight", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in SHARES])).alias("x")).select("customer_id", "weight", "x.*")
+    odd = every.select("customer_id", "weight", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in SHARES])).alias("x")).select("customer_id", "weight", "x.*")
     known = F.array(*[F.lit(f"{a}:{v}") for a, v in mass])
     odd = odd.where(F.col("value").isNotNull() & ~F.array_contains(known, F.concat_ws(":", "attribute", "value"))).groupBy("customer_id", "attribute", "value").agg(F.sum("weight").alias("mass"))
     odd = odd.groupBy("customer_id").agg(*[F.collect_list(F.when(F.col("attribute") == a, F.struct("value", "mass"))).alias(f"odd_{a}") for a in SHARES])
@@ -150,6 +166,20 @@ def siblings(gone: DataFrame) -> DataFrame:
 # --- The prior ---
 
 
+@dataclass
+class Sales:
+    """Order lines as numbers.  A SKU's lines have one description."""
+
+    #: customer_id, order_date (a date), item, kind_no (null: not active), said
+    lines: DataFrame
+    #: item, sku, active, kind, kind_no
+    items: DataFrame
+    #: said, spec
+    specs: DataFrame
+    #: kind, kind_no
+    kinds: DataFrame
+
+
 @dataclass
 class Customers:
     """What the history says about each customer, one table per question."""
@@ -175,10 +205,30 @@ class Customers:
         gone = keep(purchases(lines.join(inactive, "sku", "left_semi"), config, lines))
         return cls(full, bought, gone, keep(siblings(gone)), keep(preferences(full)))
 
+    @classmethod
+    def among(cls, sales: Sales, requests: DataFrame, fits: DataFrame, config: vocab.Config = vocab.DEFAULT, keep=lambda df: df) -> Customers:
+        """of(), with those purchases only that are compatible with a request of their customer;
+        requests: customer_id, class_key, fits: class_key, sku (names a kind).  What was bought
+        is met with what fits before it is summed, and SKUs are looked up for the rest."""
+        full = keep(profiled_shares(sales.lines, config, sales.specs))
+        wanted = requests.select("customer_id", "class_key").distinct()
+        pairs = small(keep(fits.select("class_key", F.col("sku").alias("kind")).join(small(sales.kinds), "kind").select("class_key", "kind_no")))
+        near = sales.lines.where("kind_no IS NOT NULL").join(wanted, "customer_id").join(pairs, ["class_key", "kind_no"]).join(sales.specs, "said", "left")
+        bought = weighted(near, config, sales.lines).groupBy("customer_id", "class_key", "item").agg(*_bought())
+        # a customer's requests of two classes have counted the same lines
+        bought = keep(bought.dropDuplicates(["customer_id", "item"])).join(sales.items.select("item", "sku"), "item")
+        bought = keep(bought.select("customer_id", "sku", "bought", F.col("last_order_date").cast("string").alias("last_order_date"), "repeat"))
+        inactive = small(keep(sales.items.where("NOT active").select("item", "sku")))
+        gone = sales.lines.where("kind_no IS NULL").join(inactive, "item").join(sales.specs, "said", "left")
+        gone = keep(purchases(gone.select("customer_id", F.col("order_date").cast("string").alias("order_date"), "sku", F.lit("").alias("line_no"), "spec"), config, sales.lines))
+        return cls(full, bought, gone, keep(siblings(gone)), keep(preferences(full)))
+
 
 #: What the prior and personal_reasons() need of a compatible row
 CANDIDATE = ["class_key", "sku", "n", "credit", "q_material", "q_finish", "q_nominal", "q_residue", "i_system", "i_nominal", "i_type", "i_material", "i_material_family", "i_finish"]
 STATED = ["q_material", "q_finish", "q_nominal", "q_residue"]
+#: The most items whose lists are broadcast
+LISTED = 2_000_000
 #: Items of one cell of a class differ for a customer only by what the customer bought
 CELL = ["i_material", "i_finish", "i_system", "credit"]
 
@@ -278,16 +328,31 @@ class Personal:
         return self._rated(placed)
 
     def by_kind(self) -> DataFrame:
-        """One row for each kind that a request's compatible set has, for listed()."""
-        mine = self.own.groupBy("request_id", "kind").agg(F.map_from_entries(F.collect_list(F.struct("sku", F.struct("bought", "last_order_date", "repeat")))).alias("own"))
-        return self._placed(self.asked.drop(*STATED).join(self.fits, "class_key")).join(mine, ["request_id", "kind"], "left")
-
-    def every(self, rows: DataFrame) -> DataFrame:
-        """by_kind() rows, perhaps with more columns, to the whole compatible set as scored() has
-        it.  Items come in last, from lists, so no exchange holds a row of each."""
-        met = rows.join(self.keep(lists(self.listed)), "kind").withColumn("sku", F.explode("skus")).drop("skus")
-        mine = F.col("own")[F.col("sku")]
-        return self._rated(met.withColumns({"bought": mine["bought"], "last_order_date": mine["last_order_date"], "repeat": mine["repeat"]}).drop("own"))
+        """What scored() has, for every(): a row for each kind that a request's compatible set has,
+        without sku, and one for each item of it that the customer bought; owned: these SKUs.
+        All that a customer and a request say is joined to the request first, so no exchange
+        holds a row for each kind."""
+        mine = self.own.groupBy("request_id").agg(F.collect_list(F.struct("kind", "sku", "bought", "last_order_date", "repeat")).alias("mine"))
+        siblings_ = self.known.siblings.groupBy("customer_id").agg(F.map_from_entries(F.collect_list(F.struct("sibling_key", "sibling"))).alias("siblings"))
+        asked = self.asked.drop(*STATED).join(siblings_, "customer_id", "left").join(self.totals, "request_id").join(mine, "request_id", "left")
+        found = self.keep(asked).join(self.fits, "class_key")
+        found = found.withColumns({"factor": _factor(), "sibling": F.col("siblings")[F.col("sibling_key")], "mine": F.filter("mine", lambda x: x["kind"] == F.col("kind"))})
+        said = ["sku", "bought", "last_order_date", "repeat"]
+        kinds_ = dict(self.own.dtypes)
+        rest = F.array(F.struct(*[F.lit(None).cast(kinds_[c]).alias(c) for c in said]))
+        each = F.when(F.size("mine") > 0, F.concat(rest, F.transform("mine", lambda x: F.struct(*[x[c].alias(c) for c in said])))).otherwise(rest)
+        rows = found.withColumns({"owned": F.col("mine")["sku"], "each": each}).drop("cell", "n", "sibling_key", "siblings", "mine", *[f"share_{a}" for a in SHARES])
+        return self._rated(rows.withColumn("each", F.explode("each")).select("*", "each.*").drop("each"))
+
+    def every(self, rows: DataFrame, value: str) -> DataFrame:
+        """request_id, sku and a value of by_kind() rows, for the whole compatible set.  Items come
+        in last, from lists, so no exchange holds a row of each."""
+        rows = self.keep(rows.select("request_id", "kind", "sku", "owned", value))
+        skus = self.keep(lists(self.listed))
+        skus = F.broadcast(skus) if self.listed.count() <= LISTED else skus
+        others = F.when(F.size("owned") > 0, F.array_except("skus", "owned")).otherwise(F.col("skus"))
+        rest = rows.where("sku IS NULL").drop("sku").join(skus, "kind").select("request_id", F.explode(others).alias("sku"), value)
+        return rest.unionByName(rows.where("sku IS NOT NULL").select("request_id", "sku", value))
 
     def cells(self) -> DataFrame:
         """request_id, customer_id, i_material, i_finish of every cell of each request's class."""

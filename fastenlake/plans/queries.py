@@ -320,15 +320,16 @@ pairs AS (SELECT *, CAST({_CREDIT} AS DOUBLE) AS credit, count(*) OVER (PARTITIO
 
 def _personal(spark, sf_dir) -> hs.Personal:
     m = _Matched(spark, sf_dir)
-    known = hs.Customers.of(kept(hs.slim(br.history_with_specs(spark, sf_dir, br.line_specs(spark, sf_dir, kept)))), m.items, keep=kept)
-    asked = m.asked.where("customer_id IS NOT NULL AND (q_nominal IS NOT NULL OR size(q_types) > 0)")
-    return hs.Personal.of(asked.select("request_id", "customer_id", "class_key", "limit", *hs.STATED), mt.compatible(m.rows).select(*hs.CANDIDATE), m.listed, known, keep=kept)
+    asked = m.asked.where("customer_id IS NOT NULL AND (q_nominal IS NOT NULL OR size(q_types) > 0)").select("request_id", "customer_id", "class_key", "limit", *hs.STATED)
+    fits = mt.compatible(m.rows).select(*hs.CANDIDATE)
+    known = hs.Customers.among(br.sales(spark, sf_dir, m.items, m.listed, kept), asked, fits, keep=kept)
+    return hs.Personal.of(asked, fits, m.listed, known, keep=kept)
 
 
 @query(f"{_PRIOR} SELECT request_id, sku, round(prior, 6) AS prior FROM priors")
 def history_prior(spark, sf_dir):
     own = _personal(spark, sf_dir)
-    return own.every(own.by_kind()).select("request_id", "sku", F.round("prior", 6).alias("prior"))
+    return own.every(own.by_kind().withColumn("prior", F.round("prior", 6)), "prior")
 
 
 @query(f"""{_PRIOR}, posts AS (SELECT *, 0.98 * prior * credit / (0.98 * sum(prior * credit) OVER (PARTITION BY request_id) + 0.02 * pow(3.0, r_residue)) AS p FROM priors),
@@ -365,7 +366,7 @@ SELECT request_id, sku, CASE WHEN lam IS NULL THEN NULL WHEN over_m OR over_f TH
   ELSE concat('history prefers ', {_NAME_M.format("pm")}, ' ', {_NAME_F.format("pfin")}) END AS reason FROM r""")
 def personal_reasons(spark, sf_dir):
     own = _personal(spark, sf_dir)
-    return hs.reasoned(own.every(hs.preferring(own.by_kind(), own.known, among=own.cells()))).select("request_id", "sku", "reason")
+    return own.every(hs.reasoned(hs.preferring(own.by_kind(), own.known, among=own.cells())), "reason")
 
 
 def _referenced(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

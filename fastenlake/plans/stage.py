@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 Table = tuple[SparkSession, str]
 _written: list[Table] = []
+#: What a table's writing has shuffled is read by nothing else: its files go at the end of the writing, not when the driver collects garbage
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scope: ContextVar[list[Table] | None] = ContextVar("scope", default=None)
 
 
@@ -39,7 +41,12 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/stage-{uuid.uuid4().hex}"
     own = _scope.get()
     (_written if own is None else own).append((spark, path))
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
