@@ -327,14 +327,16 @@ class Personal:
         placed = self._placed(found).join(self.own.drop("kind"), ["request_id", "sku"], "left")
         return self._rated(placed)
 
-    def by_kind(self) -> DataFrame:
+    def by_kind(self, *more: DataFrame) -> DataFrame:
         """What scored() has, for every(): a row for each kind that a request's compatible set has,
         without sku, and one for each item of it that the customer bought; owned: these SKUs.
-        All that a customer and a request say is joined to the request first, so no exchange
-        holds a row for each kind."""
+        more: further columns by request_id.  All that a customer and a request say is joined
+        to the request first, so no exchange holds a row for each kind."""
         mine = self.own.groupBy("request_id").agg(F.collect_list(F.struct("kind", "sku", "bought", "last_order_date", "repeat")).alias("mine"))
         siblings_ = self.known.siblings.groupBy("customer_id").agg(F.map_from_entries(F.collect_list(F.struct("sibling_key", "sibling"))).alias("siblings"))
         asked = self.asked.drop(*STATED).join(siblings_, "customer_id", "left").join(self.totals, "request_id").join(mine, "request_id", "left")
+        for columns in more:
+            asked = asked.join(columns, "request_id")
         found = self.keep(asked).join(self.fits, "class_key")
         found = found.withColumns({"factor": _factor(), "sibling": F.col("siblings")[F.col("sibling_key")], "mine": F.filter("mine", lambda x: x["kind"] == F.col("kind"))})
         said = ["sku", "bought", "last_order_date", "repeat"]
@@ -354,6 +356,13 @@ class Personal:
         rest = rows.where("sku IS NULL").drop("sku").join(skus, "kind").select("request_id", F.explode(others).alias("sku"), value)
         return rest.unionByName(rows.where("sku IS NOT NULL").select("request_id", "sku", value))
 
+    def preferred(self) -> DataFrame:
+        """request_id and what preferring() adds: whether a class has a material or finish is known by class."""
+        prefers = self.known.preferences.select("customer_id", F.col("material").alias("p_material"), F.col("finish").alias("p_finish"))
+        has = small(self.keep(self.fits.groupBy("class_key").agg(*[F.collect_set(f"i_{a}").alias(f"has_{a}") for a in ("material", "finish")])))
+        met = self.asked.select("request_id", "customer_id", "class_key").join(prefers, "customer_id", "left").join(has, "class_key")
+        return met.select("request_id", "p_material", "p_finish", *[yes(F.array_contains(f"has_{a}", F.col(f"p_{a}"))).alias(f"there_{a}") for a in ("material", "finish")])
+
     def cells(self) -> DataFrame:
         """request_id, customer_id, i_material, i_finish of every cell of each request's class."""
         return self.groups.where("first IS NOT NULL").join(self.asked.select("request_id", "customer_id"), "request_id").select("request_id", "customer_id", "i_material", "i_finish")

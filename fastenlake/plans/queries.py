@@ -366,7 +366,7 @@ SELECT request_id, sku, CASE WHEN lam IS NULL THEN NULL WHEN over_m OR over_f TH
   ELSE concat('history prefers ', {_NAME_M.format("pm")}, ' ', {_NAME_F.format("pfin")}) END AS reason FROM r""")
 def personal_reasons(spark, sf_dir):
     own = _personal(spark, sf_dir)
-    return own.every(hs.reasoned(hs.preferring(own.by_kind(), own.known, among=own.cells())), "reason")
+    return own.every(hs.reasoned(own.by_kind(own.preferred())), "reason")
 
 
 def _referenced(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -61,3 +61,11 @@ def test_a_history_in_numbers_says_the_same(spark, own):
     assert sorted(own.known.siblings.collect()) == sorted(whole.siblings.collect())
     assert sorted(own.known.preferences.collect()) == sorted(whole.preferences.collect())
     assert own.known.purchases.count() < whole.purchases.count()
+
+
+def test_reasons_are_made_beside_kinds_without_an_exchange(own, large):
+    rows = own.by_kind(own.preferred())
+    assert not shuffles(hs.reasoned(rows))
+    asked = own.asked.select("request_id", "customer_id")
+    told = hs.preferring(asked, own.known, among=own.cells()).drop("customer_id")
+    assert sorted(own.preferred().collect()) == sorted(told.select(own.preferred().columns).collect())
