@@ -95,9 +95,10 @@ def profiled_shares(lines: DataFrame, config: vocab.Config = vocab.DEFAULT, spec
     age = F.datediff(F.to_date("reference_date"), F.to_date("order_date"))
 
     def dated(of: DataFrame) -> DataFrame:
-        return of.crossJoin(F.broadcast(latest_date(lines))).select("customer_id", F.when(s.isNotNull(), F.exp(-age / config.tau_days)).alias("weight"), *[v.alias(a) for a, v in values.items()])
+        found = of.crossJoin(F.broadcast(latest_date(lines))).select("customer_id", F.when(s.isNotNull(), F.exp(-age / config.tau_days)).alias("weight"), *[v.alias(a) for a, v in values.items()])
+        return _split(found)
 
-    mass = {(a, v): F.sum(F.when(F.col(a) == v, F.col("weight"))) for a, vs in SHARES.items() for v in vs}
+    mass = {(a, v): _exact_sum(F.col(a) == v) for a, vs in SHARES.items() for v in vs}
     if specs is None:
         every = dated(lines)
         by = every.repartition("customer_id")
@@ -107,9 +108,9 @@ def profiled_shares(lines: DataFrame, config: vocab.Config = vocab.DEFAULT, spec
         every = dated(lines.join(small(specs.where(strange)), "said"))
     summed = by.groupBy("customer_id").agg(F.sum("weight").alias("__n"), *[m.alias(f"{a}:{v}") for (a, v), m in mass.items()])
     # values that the vocabulary lacks: none where descriptions are parsed by it
-    odd = every.select("customer_id", "weight", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in SHARES])).alias("x")).select("customer_id", "weight", "x.*")
+    odd = every.select("customer_id", "high", "low", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in SHARES])).alias("x")).select("customer_id", "high", "low", "x.*")
     known = F.array(*[F.lit(f"{a}:{v}") for a, v in mass])
-    odd = odd.where(F.col("value").isNotNull() & ~F.array_contains(known, F.concat_ws(":", "attribute", "value"))).groupBy("customer_id", "attribute", "value").agg(F.sum("weight").alias("mass"))
+    odd = odd.where(F.col("value").isNotNull() & ~F.array_contains(known, F.concat_ws(":", "attribute", "value"))).groupBy("customer_id", "attribute", "value").agg(_exact_sum(F.lit(True)).alias("mass"))
     odd = odd.groupBy("customer_id").agg(*[F.collect_list(F.when(F.col("attribute") == a, F.struct("value", "mass"))).alias(f"odd_{a}") for a in SHARES])
     n = F.coalesce("__n", F.lit(0.0))
 
@@ -122,6 +123,21 @@ def profiled_shares(lines: DataFrame, config: vocab.Config = vocab.DEFAULT, spec
     return summed.join(odd, "customer_id", "left").select("customer_id", n.alias("n_eff"), (n / (n + config.k)).alias("lambda"), *[shared(a) for a in SHARES])
 
 
+#: Bits of a weight's upper part, and of its lower part behind them
+PART = 30
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """rows with weight in two parts, high and low, whose sums are exact for up to 2^23 rows: values
+    bought on the same dates tie, in whatever order lines come."""
+    cut = lambda x, bits: F.floor(x * float(1 << bits)) / float(1 << bits)
+    return rows.withColumn("high", cut(F.col("weight"), PART)).withColumn("low", cut(F.col("weight") - F.col("high"), 2 * PART))
+
+
+def _exact_sum(where: Column) -> Column:
+    return F.sum(F.when(where, F.col("high"))) + F.sum(F.when(where, F.col("low")))
+
+
 def purchases(lines: DataFrame, config: vocab.Config = vocab.DEFAULT, every: DataFrame | None = None) -> DataFrame:
     """customer_id, sku, bought, last_order_date, spec of the latest line (of equal dates the
     later line), repeat."""

@@ -1,5 +1,6 @@
 """Lists of every compatible item: what is exchanged for them, and what of a large history is met."""
 
+import datetime
 import os
 import re
 import time
@@ -11,6 +12,7 @@ from fastenlake.operators import history as hs
 from fastenlake.plans import bridge as br
 from fastenlake.plans import queries as qs
 from fastenlake.plans.stage import kept
+from fastenlake.sources import tables as st
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -69,3 +71,16 @@ def test_reasons_are_made_beside_kinds_without_an_exchange(own, large):
     asked = own.asked.select("request_id", "customer_id")
     told = hs.preferring(asked, own.known, among=own.cells()).drop("customer_id")
     assert sorted(own.preferred().collect()) == sorted(told.select(own.preferred().columns).collect())
+
+
+def test_materials_bought_on_the_same_dates_tie_in_any_order_of_lines(spark):
+    ages = [508, 780, 461, 484]  # whose weights' sum is larger by an ulp or two from the other end
+    bought = [("C1", "BRASS", a) for a in ages] + [("C1", "STEEL", a) for a in ages[::-1]]
+    bought += [("C2", m, a) for _, m, a in bought[::-1]] + [("C3", "ALLOY", 0)]
+    date = lambda a: str(datetime.date(2026, 1, 1) - datetime.timedelta(a))
+    rows = [(c, c, date(a), f"S{m}", f"M8 HEX NUT {m} PLAIN", 1.0, i) for i, (c, m, a) in enumerate(bought)]
+    raw = spark.createDataFrame(rows, "customer_id string, customer_name string, order_date string, sku string, description string, quantity double, line_no long").coalesce(1)
+    full = kept(hs.profiled_shares(st.history_lines(raw)))
+    for r in full.where("customer_id <> 'C3'").collect():
+        assert r["share_material"]["brass"] == r["share_material"]["steel"] > r["share_material"]["alloy"]
+    assert {r["customer_id"]: r["material"] for r in hs.preferences(full).collect()} == {"C1": "brass", "C2": "brass", "C3": "alloy"}
