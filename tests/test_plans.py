@@ -1,5 +1,7 @@
 """The physical plans that the design counts on."""
 
+import os
+
 import pytest
 
 from fastenlake.functions.parse import query_spec
@@ -7,8 +9,11 @@ from fastenlake.operators import history as hs
 from fastenlake.operators import lexical as lx
 from fastenlake.operators import matching as mt
 from fastenlake.plans.engine import REQUEST, Engine
+from fastenlake.plans.queries import QUERIES
 from fastenlake.sources import tables as st
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def no_broadcast(spark):
@@ -83,3 +88,16 @@ def test_lists_of_a_kind_are_bounded_and_whole(spark, monkeypatch):
     made = mt.lists(listed).collect()
     assert sorted(s for r in made for s in r["skus"]) == sorted(f"S{i}" for i in range(205))
     assert len(made) > 15 and max(len(r["skus"]) for r in made) <= 30
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("name", ["match_responses", "display_sentences"])
+def test_the_generated_code_of_whole_answers_compiles(spark, name):
+    """Code that is too long costs the driver hundreds of MB before it falls back."""
+    key = "spark.sql.codegen.fallback"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        assert QUERIES[name](spark, FOLDER).count() > 0
+    finally:
+        spark.conf.set(key, before)
