@@ -101,3 +101,8 @@ def test_the_generated_code_of_whole_answers_compiles(spark, name):
         assert QUERIES[name](spark, FOLDER).count() > 0
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_whole_answers_are_planned_in_parts(spark):
+    assert "collect_list" not in plan(QUERIES["match_responses"](spark, FOLDER))
