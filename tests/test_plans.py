@@ -106,3 +106,11 @@ def test_the_generated_code_of_whole_answers_compiles(spark, name):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_whole_answers_are_planned_in_parts(spark):
     assert "collect_list" not in plan(QUERIES["match_responses"](spark, FOLDER))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_pairs_are_listed_without_an_exchange_of_kinds(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(mt, "PAIRS", 100)
+    made = QUERIES["compatible_set"](spark, FOLDER)
+    assert "SortMergeJoin" not in plan(made) and plan(made).count("Exchange RoundRobin") == 1
+    assert made.rdd.getNumPartitions() == -(-made.count() // 100)
